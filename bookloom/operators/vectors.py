@@ -1,0 +1,51 @@
+"""The same weights as MLlib vectors, one row per book, for use with other MLlib stages."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizer,
+    CountVectorizerModel,
+    Normalizer,
+    StopWordsRemover,
+)
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions.columns import body_tokens
+from .terms import MARKERS
+
+
+def token_arrays(books: DataFrame, markers: tuple[str, str] = MARKERS) -> DataFrame:
+    """``file_name, words``: the cleaned words of every book in order, stop words included."""
+    return books.select("file_name", body_tokens(F.col("text"), markers).alias("words"))
+
+
+def fit_vectors(
+    words: DataFrame,
+    vocabulary: list[str] | None = None,
+    size: int = fixed.VOCABULARY_SIZE,
+    min_books: int = fixed.MIN_BOOKS_PER_TERM,
+) -> PipelineModel:
+    """Fit the stages from words to ``normalized_tfidf``.
+
+    MLlib breaks ties at the end of the vocabulary arbitrarily; pass the terms of
+    ``terms.vocabulary`` (at most ``size``) for a fixed choice and to save one pass.
+    """
+    remover = StopWordsRemover(
+        inputCol="words", outputCol="filtered_words", stopWords=list(fixed.STOP_WORDS)
+    )
+    filtered = remover.transform(words)
+    if vocabulary is None:
+        counter = CountVectorizer(
+            inputCol="filtered_words", outputCol="tf_features", vocabSize=size, minDF=min_books
+        ).fit(filtered)
+    else:
+        counter = CountVectorizerModel.from_vocabulary(
+            vocabulary, inputCol="filtered_words", outputCol="tf_features"
+        )
+    idf = IDF(inputCol="tf_features", outputCol="tfidf_features").fit(counter.transform(filtered))
+    unit = Normalizer(inputCol="tfidf_features", outputCol="normalized_tfidf")
+    return PipelineModel([remover, counter, idf, unit])
