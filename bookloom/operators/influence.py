@@ -17,6 +17,8 @@ from ..functions import fixed
 from ..functions.columns import fence
 from .pairs import blocks, pair_members
 
+_SALTS = 16  # parts into which the profiles that reach a year are dealt
+
 
 def author_profiles(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
     """``author, profile``: one row per author, the profile an array of ``first, last`` years."""
@@ -47,8 +49,10 @@ def linked_profiles(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) ->
     """``group_a, group_b``: distinct ordered pairs of profiles within reach, each with itself.
 
     The band condition is an equi-join: of two spans within reach, the one that starts later
-    starts in a year between the start of the other and ``years`` after its end.
+    starts in a year between the start of the other and ``years`` after its end. There are few
+    years and one may dominate, so the profiles reaching a year are dealt into parts.
     """
+    salts = F.array(*[F.lit(salt) for salt in range(_SALTS)])
     spans = (
         profiles.select("profile")
         .distinct()
@@ -57,12 +61,17 @@ def linked_profiles(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) ->
     )
     reach = spans.select(
         F.col("profile").alias("group_a"),
+        F.pmod(F.hash("profile"), F.lit(_SALTS)).alias("salt"),
         F.explode(F.sequence("first", F.col("last") + years)).alias("year"),
     )
-    starts = spans.select(F.col("profile").alias("group_b"), F.col("first").alias("year"))
-    ahead = reach.join(starts, "year").select("group_a", "group_b")
-    behind = ahead.select(F.col("group_b").alias("group_a"), F.col("group_a").alias("group_b"))
-    return ahead.union(behind).distinct()
+    starts = spans.select(
+        F.col("profile").alias("group_b"), F.col("first").alias("year"), F.explode(salts).alias("salt")
+    )
+    ways = [("group_a", "group_b"), ("group_b", "group_a")]
+    both_ways = F.array(
+        *[F.struct(F.col(a).alias("group_a"), F.col(b).alias("group_b")) for a, b in ways]
+    )
+    return reach.join(starts, ["year", "salt"]).select(F.inline(both_ways)).distinct()
 
 
 def influence_edges(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
