@@ -33,9 +33,9 @@ def extract_metadata(
     Every field is one search through the text, so name only those that are needed.
     """
     found = {name: header_field(F.col("text"), _PATTERNS[name]) for name in fields}
-    if "language" in found:
-        found["language"] = accepted_language(found["language"])
     metadata = fence(books, ["file_name"], **found)
+    if "language" in found:
+        metadata = metadata.withColumn("language", accepted_language(F.col("language")))
     if "release_date" in found:
         metadata = metadata.withColumn("release_year", release_year(F.col("release_date")))
     return metadata

@@ -1,0 +1,139 @@
+import pytest
+
+from bookloom.functions import fixed
+from bookloom.operators import metadata, stats
+
+HEADERS = {
+    "crlf": ("Title: The Bible  \r\nAuthor: X\r\n", "title", "The Bible"),
+    "trailing tab stays": ("Title: The Bible\t \n", "title", "The Bible\t"),
+    "empty field takes the next line": ("Title:\n\nAuthor: X\n", "title", "Author: X"),
+    "first of two": ("Title: a\nTitle: b\n", "title", "a"),
+    "indented is not a field": ("  Title: a\n", "title", ""),
+    "any case": ("TITLE: a\n", "title", "a"),
+    "absent": ("nothing here", "title", ""),
+    "after the header": ("text\n" * 50 + "Title: late\n", "title", "late"),
+    "encoding": ("Character set encoding: UTF-8\n", "encoding", "UTF-8"),
+    "language": ("Language: French\n", "language", "French"),
+    "unknown language": ("Language: Volapuk\n", "language", None),
+    "language is case-sensitive": ("Language: french\n", "language", None),
+    "no language": ("x", "language", None),
+    "year": ("Release Date: May 5, 2004 [EBook #1]\n", "release_year", 2004),
+    "any four digits": ("Release Date: 12/25/91 [Etext #1234]", "release_year", 1234),
+    "first of five digits": ("Release Date: 1/1/91 [Etext #12345]", "release_year", 1234),
+    "no year": ("Release Date: August, 89", "release_year", None),
+    "no release date": ("x 1999", "release_year", None),
+    "date in the body": ("body\nRelease Date: 2001\n", "release_date", "2001"),
+}
+
+
+def test_header_fields(books):
+    found = metadata.extract_metadata(books({name: case[0] for name, case in HEADERS.items()}))
+    rows = {row.file_name: row.asDict() for row in found.collect()}
+    assert {n: rows[n][field] for n, (_, field, _) in HEADERS.items()} == {
+        n: want for n, (_, _, want) in HEADERS.items()
+    }
+
+
+AUTHORS = {
+    "spaced label": ("AUTHORS : A and B \r\n", "A and B"),
+    "label wins": ("by Mark Twain\nAuthor: X\n", "X"),
+    "comma": ("by Mark Twain, author of x\n", "Mark Twain"),
+    "end of line": ("\n  By Mark Twain\n1\n", "Mark Twain"),
+    "crlf": ("by Mark Twain\r\n1\r\n", "Mark Twain"),
+    "runs on": ("by Mark Twain\n\nCONTENTS\n\nChapter one begins here 1\n", "Mark Twain\n\nCONTENTS"),
+    "lower case": ("stand\nby me and see the sky, now\n", "me and see the sky"),
+    "not the end of a name": ("by Mark Twain (1884)\n", None),
+    "not at the start of a line": ("written by Mark Twain\n", None),
+    "none": ("nobody", None),
+    "blacklisted": ("by the Mount Horeb.\n\n12\n", "the Mount Horeb."),
+    "indented label": ("   Author: Y\n", "Y"),
+}
+
+
+def test_authors(books):
+    rows = metadata.extract_authors(books({n: t for n, (t, _) in AUTHORS.items()})).collect()
+    found = {row.file_name: row.author for row in rows}
+    # A name may run over blank lines up to eight words, so compare what is certain of it.
+    assert found.pop("runs on").startswith("Mark Twain\n\nCONTENTS")
+    assert found == {n: want for n, (_, want) in AUTHORS.items() if n != "runs on"}
+
+
+def test_third_author_pattern_adds_nothing(books, spark):
+    texts = {n: t for n, (t, _) in AUTHORS.items()}
+    from pyspark.sql import functions as F
+
+    both = books(texts).select(
+        F.regexp_extract("text", fixed.AUTHOR_BY, 1).alias("by"),
+        F.regexp_extract("text", fixed.AUTHOR_BY_ALONE, 1).alias("alone"),
+    )
+    assert both.where("alone != '' and by = ''").count() == 0
+
+
+def test_valid_author_books(books):
+    year = "\nRelease Date: 2001\n"
+    texts = {
+        "ok": "Author: X" + year,
+        "unknown": "Author: UNKNOWN " + year,
+        "project": "Author: Project Gutenberg" + year,
+        "mount": "by the Mount Horeb.\n\n12\n" + year,
+        "no year": "Author: X\n",
+        "no author": "x" + year,
+    }
+    valid = metadata.valid_author_books(metadata.extract_authors(books(texts))).collect()
+    assert [(r.file_name, r.author, r.release_year) for r in valid] == [("ok", "X", 2001)]
+
+
+@pytest.fixture
+def described(books):
+    return metadata.extract_metadata(
+        books(
+            {
+                "1": "Title: abc\nRelease Date: 2001\nLanguage: French\nCharacter set encoding: x",
+                "2": "Title: abcdé\nRelease Date: 2001\nLanguage: English\n",
+                "3": "Release Date: soon\nLanguage: Klingon\n",
+                "4": "Title: a\nRelease Date: 1999\nLanguage: English\n",
+                "5": "Title: b\nRelease Date: 1998\nLanguage: French\n",
+                "6": "plain",
+            }
+        )
+    )
+
+
+def rows(df):
+    return [tuple(row) for row in df.collect()]
+
+
+def test_stats(described):
+    assert rows(stats.books_per_year(described)) == [(1998, 1), (1999, 1), (2001, 2)]
+    assert rows(stats.missing_year_count(described)) == [(2,)]
+    assert rows(stats.language_counts(described)) == [("English", 2), ("French", 2)]
+    assert rows(stats.top_language(described)) == [("English", 2)]
+    assert rows(stats.average_title_length(described)) == [((3 + 5 + 1 + 1) / 4,)]
+    assert stats.missing_metadata(described).first().asDict() == {
+        "missing_titles": 2,
+        "missing_release_dates": 1,
+        "missing_languages": 2,
+        "missing_encodings": 5,
+    }
+    assert rows(stats.total_books(described)) == [(6,)]
+
+
+def test_stats_of_nothing(books, spark):
+    nothing = metadata.extract_metadata(books({"1": "x"}).limit(0))
+    assert rows(stats.books_per_year(nothing)) == []
+    assert rows(stats.average_title_length(nothing)) == [(None,)]
+    assert rows(stats.top_language(nothing)) == []
+
+
+def test_each_field_is_searched_once(spark, tmp_path, books):
+    path = str(tmp_path / "books")
+    books({"1": "Title: x\nRelease Date: 2001\n"}).write.parquet(path)
+    found = metadata.extract_metadata(spark.read.parquet(path))
+    query = stats.books_per_year(found.where("title != '' and release_date != ''"))
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(text") == 4
+
+
+def test_unnamed_fields_are_not_searched(books):
+    found = metadata.extract_metadata(books({"1": "Title: x"}), ["title"])
+    assert found.columns == ["file_name", "title"]

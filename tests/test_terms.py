@@ -1,0 +1,148 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import functions as F
+
+from bookloom.functions import fixed
+from bookloom.operators import terms, vectors
+
+START = "*** START OF THIS PROJECT GUTENBERG EBOOK X ***"
+END = "*** END OF THIS PROJECT GUTENBERG EBOOK X ***"
+
+WHALES = {
+    "1": "whale sea ship whale",
+    "2": "sea ship king",
+    "3": "king queen sea",
+    "4": "sea",
+    "5": "solo",
+}
+
+
+def tokens(df):
+    found = {}
+    for row in df.collect():
+        found.setdefault(row.file_name, []).append(row.term)
+    return found
+
+
+def test_stop_words_are_those_of_mllib(spark):
+    assert list(fixed.STOP_WORDS) == StopWordsRemover.loadDefaultStopWords("english")
+
+
+CLEANED = {
+    "body only": (f"hdr\n{START}\nBody one\n{END}\nlicence", ["body", "one"]),
+    "other case": (f"hdr\n{START.lower()}\nBody\n{END.lower()}", ["body"]),
+    "marker over lines": ("h *** START OF THIS PROJECT GUTENBERG EBOOK a\nb *** Body", ["body"]),
+    "no space after stars": ("hdr ***START OF THIS PROJECT GUTENBERG EBOOK X*** Body",
+                             ["hdr", "start", "project", "gutenberg", "ebook", "x", "body"]),
+    "marker with THE": ("hdr\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\nBody",
+                        ["hdr", "start", "project", "gutenberg", "ebook", "x", "body"]),
+    "apostrophes and accents": ("Body don't café 12 we've", ["body", "caf", "ve"]),
+    "no letters": ("123 !!", [""]),
+    "empty": ("", [""]),
+    "repeats stay": ("whale sea whale", ["whale", "sea", "whale"]),
+    "stop words only": ("the and of", None),
+    "odd spaces": ("a\x0bbody\x0cone two\tthree\r\nfour", ["body", "one", "two", "three", "four"]),
+}
+
+
+def test_cleaning(books):
+    found = tokens(terms.clean_tokens(books({n: t for n, (t, _) in CLEANED.items()})))
+    assert found == {n: want for n, (_, want) in CLEANED.items() if want is not None}
+
+
+def test_other_markers(books):
+    markers = (r"(?s)^.*?\*\*\* start of the.*?\*\*\*", r"(?s)\*\*\* end of the.*$")
+    text = "hdr *** START OF THE EBOOK *** Body *** END OF THE EBOOK *** tail"
+    assert tokens(terms.clean_tokens(books({"1": text}), markers)) == {"1": ["body"]}
+
+
+def test_terms_are_counted_within_the_book(books):
+    texts = {n: t for n, (t, _) in CLEANED.items()} | WHALES
+    texts["long"] = " ".join(f"w{chr(97 + i % 7)} zz" for i in range(5000))
+    df = books(texts)
+    found = {r.file_name: r.terms for r in terms.book_terms(df).collect()}
+    assert set(found) == set(texts)
+    want = {n: Counter(ts) for n, ts in tokens(terms.clean_tokens(df)).items()}
+    for name, entries in found.items():
+        assert {e.term: e.tf for e in entries} == want.get(name, {})
+        assert [e.term for e in entries] == sorted(e.term for e in entries)
+    plan = terms.book_terms(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_vocabulary(books):
+    counted = terms.book_terms(books(WHALES))
+    found = [tuple(r) for r in terms.vocabulary(counted).collect()]
+    assert found == [("sea", 4, 4), ("king", 2, 2), ("ship", 2, 2)]
+    assert [r.term for r in terms.vocabulary(counted, size=2).collect()] == ["sea", "king"]
+    assert [r.term for r in terms.vocabulary(counted, min_books=1).collect()] == [
+        "sea", "king", "ship", "whale", "queen", "solo",
+    ]
+
+
+def test_two_books_without_letters_share_the_empty_term(books):
+    counted = terms.book_terms(books({"1": "12", "2": "--", "3": "sea"}))
+    assert [tuple(r) for r in terms.vocabulary(counted).collect()] == [("", 2, 2)]
+
+
+def test_weights(books):
+    counted = terms.book_terms(books(WHALES))
+    vocabulary = terms.vocabulary(counted)
+    idf = terms.idf(counted, vocabulary)
+    found = {r.term: r.idf for r in idf.collect()}
+    assert found == pytest.approx(
+        {"sea": math.log(6 / 5), "king": math.log(6 / 3), "ship": math.log(6 / 3)}
+    )
+    weights = terms.tfidf(counted, idf)
+    unit = {}
+    for r in terms.normalize(weights).collect():
+        unit.setdefault(r.file_name, {})[r.term] = r.weight
+    assert set(unit) == {"1", "2", "3", "4"}
+    for vector in unit.values():
+        assert sum(w * w for w in vector.values()) == pytest.approx(1)
+    assert sorted(tuple(r) for r in terms.term_frequency(counted, vocabulary).collect()) == [
+        ("1", "sea", 1), ("1", "ship", 1), ("2", "king", 1), ("2", "sea", 1), ("2", "ship", 1),
+        ("3", "king", 1), ("3", "sea", 1), ("4", "sea", 1),
+    ]
+
+
+def test_term_of_every_book_has_no_weight(books):
+    counted = terms.book_terms(books({"1": "sea", "2": "sea"}))
+    idf = terms.idf(counted, terms.vocabulary(counted))
+    assert [r.weight for r in terms.normalize(terms.tfidf(counted, idf)).collect()] == [0.0, 0.0]
+
+
+def test_small_vocabularies_are_broadcast_and_large_ones_are_not(books, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    counted = terms.book_terms(books(WHALES))
+    idf = terms.idf(counted, terms.vocabulary(counted))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(terms.tfidf(counted, idf))
+    assert "BroadcastHashJoin" not in plan(terms.tfidf(counted, idf, size=10**7))
+
+
+def test_same_weights_as_mllib(books):
+    texts = dict(WHALES)
+    for i in range(30):
+        texts[f"b{i}"] = " ".join(f"w{chr(97 + (i * k) % 13)}x" for k in range(1, 40))
+    texts["blank"] = "1"
+    df = books(texts)
+    counted = terms.book_terms(df)
+    vocabulary = terms.vocabulary(counted)
+    long = terms.normalize(terms.tfidf(counted, terms.idf(counted, vocabulary)))
+    want = {(r.file_name, r.term): r.weight for r in long.collect()}
+    words = vectors.token_arrays(df)
+    named = [r.term for r in vocabulary.collect()]
+    for model in (vectors.fit_vectors(words, named), vectors.fit_vectors(words)):
+        names = model.stages[1].vocabulary
+        assert set(names) == set(named)
+        found = {
+            (r.file_name, names[i]): value
+            for r in model.transform(words).collect()
+            for i, value in zip(r.normalized_tfidf.indices, r.normalized_tfidf.values)
+        }
+        assert found == pytest.approx(want, abs=1e-12)
