@@ -92,7 +92,7 @@ def test_many_copies_and_hot_terms_in_small_blocks(books, monkeypatch, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(similarity, "blocks", lambda df: pairs.blocks(df, bits=2))
-    monkeypatch.setattr(similarity, "_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(similarity, "_GROUP_BYTES", 2000)
     texts = random_texts(9, 30, 40, 12)
     texts |= {f"c{i}": "whale sea ship" for i in range(25)}  # copies
     texts |= {f"d{i}": "whale " * (i + 1) + "sea" for i in range(10)}  # one hot term
