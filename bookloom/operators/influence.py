@@ -26,7 +26,7 @@ def author_profiles(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS)
         valid_books.select("author", "release_year")
         .distinct()
         .groupBy("author")
-        .agg(F.array_sort(F.collect_set("release_year")).alias("seen"))
+        .agg(F.sort_array(F.collect_set("release_year")).alias("seen"))
     )
     apart = 2 * years + 1
     ends = fence(
