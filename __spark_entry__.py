@@ -51,7 +51,7 @@ def _on_books(operator: Callable[[DataFrame], DataFrame]):
     return query
 
 
-def _on_profiles(operator: Callable[[DataFrame], DataFrame]):
+def _on_network(operator: Callable[[influence.Network], DataFrame]):
     return _on_books(lambda books: operator(analyses.author_network(books)))
 
 
@@ -118,13 +118,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "valid_author_count": _on_books(
             lambda books: _valid_books(books).agg(F.count("*").alias("valid_books"))
         ),
-        "influence_edges": _on_profiles(influence.influence_edges),
-        "influence_edge_count": _on_profiles(influence.edge_count),
-        "influence_edge_sample": _on_profiles(influence.edge_sample),
-        "out_degree": _on_profiles(influence.out_degree),
-        "in_degree": _on_profiles(influence.in_degree),
-        "top5_out_degree": _on_profiles(lambda p: influence.top_degree(influence.out_degree(p))),
-        "top5_in_degree": _on_profiles(lambda p: influence.top_degree(influence.in_degree(p))),
+        "influence_edges": _on_network(influence.influence_edges),
+        "influence_edge_count": _on_network(influence.edge_count),
+        "influence_edge_sample": _on_network(influence.edge_sample),
+        "out_degree": _on_network(influence.out_degree),
+        "in_degree": _on_network(influence.in_degree),
+        "top5_out_degree": _on_network(lambda n: influence.top_degree(influence.out_degree(n))),
+        "top5_in_degree": _on_network(lambda n: influence.top_degree(influence.in_degree(n))),
         "clean_tokens": _on_books(term_ops.clean_tokens),
         "term_frequency": _on_books(_term_frequency),
         "vocabulary": _on_books(lambda books: term_ops.vocabulary(term_ops.book_terms(books))),

@@ -10,18 +10,45 @@ of authors. Degrees follow from profile sizes, without listing a single pair of
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import fence
-from .pairs import blocks, pair_members
+from ..sources.staging import stage
+from .pairs import blocks, deal, pair_members
+from .terms import bounded
 
 _SALTS = 16  # parts into which the profiles that reach a year are dealt
 
 
-def author_profiles(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
-    """``author, profile``: one row per author, the profile an array of ``first, last`` years."""
+class Network(NamedTuple):
+    """Authors, profiles and links between profiles, as staged by ``author_network``."""
+
+    authors: DataFrame  # author, profile
+    profiles: DataFrame  # profile (its number), spans, authors (how many have it)
+    links: DataFrame  # group_a, group_b (numbers of profiles)
+
+
+def author_network(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> Network:
+    """Stage the network of ``author, release_year``; the texts are not read again after this."""
+    spans = stage(author_spans(valid_books, years), "spans")
+    # Numbers hold for one evaluation only, so the table is staged; keys of pairs stay short.
+    profiles = stage(
+        spans.groupBy("spans")
+        .agg(F.count("*").alias("authors"))
+        .select(F.monotonically_increasing_id().alias("profile"), "spans", "authors"),
+        "profiles",
+    )
+    authors = spans.join(profiles, "spans").select("author", "profile")
+    links = linked_profiles(profiles, years)
+    return Network(stage(authors, "authors"), profiles, stage(links, "links"))
+
+
+def author_spans(valid_books: DataFrame, years: int) -> DataFrame:
+    """``author, spans``: one row per author, the spans an array of ``first, last`` years."""
     per_author = (
         valid_books.select("author", "release_year")
         .distinct()
@@ -42,28 +69,23 @@ def author_profiles(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS)
     spans = F.zip_with(
         "firsts", "lasts", lambda first, last: F.struct(first.alias("first"), last.alias("last"))
     )
-    return ends.select("author", spans.alias("profile"))
+    return ends.select("author", spans.alias("spans"))
 
 
-def linked_profiles(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
+def linked_profiles(profiles: DataFrame, years: int) -> DataFrame:
     """``group_a, group_b``: distinct ordered pairs of profiles within reach, each with itself.
 
     The band condition is an equi-join: of two spans within reach, the one that starts later
     starts in a year between the start of the other and ``years`` after its end. There are few
     years and one may dominate, so the profiles reaching a year are dealt into parts.
     """
-    salts = F.array(*[F.lit(salt) for salt in range(_SALTS)])
-    spans = (
-        profiles.select("profile")
-        .distinct()
-        .select("profile", F.explode("profile").alias("span"))
-        .select("profile", "span.first", "span.last")
-    )
+    spans = profiles.select("profile", F.inline("spans"))
     reach = spans.select(
         F.col("profile").alias("group_a"),
         F.pmod(F.hash("profile"), F.lit(_SALTS)).alias("salt"),
         F.explode(F.sequence("first", F.col("last") + years)).alias("year"),
     )
+    salts = F.array(*[F.lit(salt) for salt in range(_SALTS)])
     starts = spans.select(
         F.col("profile").alias("group_b"), F.col("first").alias("year"), F.explode(salts).alias("salt")
     )
@@ -71,67 +93,70 @@ def linked_profiles(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) ->
     both_ways = F.array(
         *[F.struct(F.col(a).alias("group_a"), F.col(b).alias("group_b")) for a, b in ways]
     )
-    return reach.join(starts, ["year", "salt"]).select(F.inline(both_ways)).distinct()
+    meeting = deal(reach, "year", "salt").join(starts, ["year", "salt"])
+    return meeting.select(F.inline(both_ways)).distinct()
 
 
-def influence_edges(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
+def influence_edges(network: Network) -> DataFrame:
     """``author1, author2``: all links, in both directions, each once.
 
     An author has one profile, so pairs of linked profiles give distinct pairs of authors and
-    the long list needs no ``distinct``. For numbers of links use ``degrees``.
+    the long list needs no ``distinct``. For numbers of links use the degrees.
     """
     members = blocks(
-        profiles.select(F.col("profile").alias("group"), F.col("author").alias("member"))
+        network.authors.select(F.col("profile").alias("group"), F.col("author").alias("member"))
     )
     return (
-        pair_members(members, members, linked_profiles(profiles, years))
+        pair_members(members, members, network.links)
         .where(F.col("a") != F.col("b"))
         .select(F.col("a").alias("author1"), F.col("b").alias("author2"))
     )
 
 
-def _degrees(profiles: DataFrame, counted: str, by: str, years: int) -> DataFrame:
-    sizes = profiles.groupBy(F.col("profile").alias(counted)).agg(F.count("*").alias("authors"))
-    reached = (
-        linked_profiles(profiles, years)
-        .join(sizes, counted)
-        .groupBy(by)
+def _profile_degrees(network: Network, by: str, counted: str) -> DataFrame:
+    """``profile, degree``: number of links of each author with that profile."""
+    sizes = network.profiles.select(F.col("profile").alias(counted), "authors")
+    return (
+        network.links.join(sizes, counted)
+        .groupBy(F.col(by).alias("profile"))
         .agg((F.sum("authors") - 1).alias("degree"))  # all but the author
         .where(F.col("degree") > 0)
     )
-    return profiles.join(reached, profiles["profile"] == reached[by]).select("author", "degree")
 
 
-def out_degree(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
+def out_degree(network: Network) -> DataFrame:
     """``author, degree``: number of authors each author links to; linked authors only."""
-    return _degrees(profiles, "group_b", "group_a", years)
+    degrees = _profile_degrees(network, "group_a", "group_b")
+    return network.authors.join(degrees, "profile").select("author", "degree")
 
 
-def in_degree(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
+def in_degree(network: Network) -> DataFrame:
     """``author, degree``: number of authors linking to each; links go both ways, so as above."""
-    return _degrees(profiles, "group_a", "group_b", years)
+    degrees = _profile_degrees(network, "group_b", "group_a")
+    return network.authors.join(degrees, "profile").select("author", "degree")
 
 
-def edge_count(profiles: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
+def edge_count(network: Network) -> DataFrame:
     """Number of links, as the sum of degrees."""
-    total = F.coalesce(F.sum("degree"), F.lit(0)).cast("bigint")
-    return out_degree(profiles, years).agg(total.alias("total_edges"))
+    degrees = _profile_degrees(network, "group_a", "group_b")
+    total = F.coalesce(F.sum(F.col("degree") * F.col("authors")), F.lit(0))
+    return degrees.join(network.profiles, "profile").agg(total.alias("total_edges"))
 
 
-def edge_sample(
-    profiles: DataFrame, rows: int = 10, years: int = fixed.INFLUENCE_YEARS
-) -> DataFrame:
+def edge_sample(network: Network, rows: int = 10) -> DataFrame:
     """The first ``rows`` links by author names.
 
     They start at the first ``rows`` authors that have a link at all, so only those are joined.
     """
-    first = out_degree(profiles, years).orderBy("author").limit(rows)
-    starts = profiles.join(first, "author", "left_semi").select(
+    first = stage(out_degree(network).orderBy("author").limit(rows).select("author"), "first")
+    starts = network.authors.join(bounded(first, rows), "author").select(
         F.col("author").alias("author1"), F.col("profile").alias("group_a")
     )
-    ends = profiles.select(F.col("author").alias("author2"), F.col("profile").alias("group_b"))
+    ends = network.authors.select(
+        F.col("author").alias("author2"), F.col("profile").alias("group_b")
+    )
     return (
-        starts.join(linked_profiles(profiles, years), "group_a")
+        starts.join(network.links, "group_a")
         .join(ends, "group_b")
         .where(F.col("author1") != F.col("author2"))
         .select("author1", "author2")

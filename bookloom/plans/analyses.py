@@ -15,10 +15,12 @@ from ..operators import terms as term_ops
 from ..sources.staging import stage
 
 
-def author_network(books: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> DataFrame:
-    """Staged author profiles, the input of all functions in ``operators.influence``."""
+def author_network(
+    books: DataFrame, years: int = fixed.INFLUENCE_YEARS
+) -> influence.Network:
+    """The staged network of authors, the input of the functions in ``operators.influence``."""
     valid = metadata.valid_author_books(metadata.extract_authors(books))
-    return stage(influence.author_profiles(valid, years), "profiles")
+    return influence.author_network(valid, years)
 
 
 def counted_terms(books: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@ import random
 import pytest
 
 from bookloom.operators import influence, pairs
-from bookloom.sources import stage
 
 
 def brute_force(rows, years):
@@ -12,9 +11,9 @@ def brute_force(rows, years):
     }
 
 
-def profiles_of(spark, rows, years=5):
+def network_of(spark, rows, years=5):
     books = spark.createDataFrame(rows, "author string, release_year int")
-    return stage(influence.author_profiles(books, years), "profiles")
+    return influence.author_network(books, years)
 
 
 def edges(df):
@@ -50,42 +49,43 @@ CASES = {
 def test_same_links_as_comparing_all_books(spark, name):
     rows, years = CASES[name]
     want = brute_force(rows, years)
-    profiles = profiles_of(spark, rows, years)
-    assert edges(influence.influence_edges(profiles, years)) == want
-    out = degrees(influence.out_degree(profiles, years))
+    network = network_of(spark, rows, years)
+    assert edges(influence.influence_edges(network)) == want
+    out = degrees(influence.out_degree(network))
     assert out == {a: sum(1 for x, _ in want if x == a) for a in {a for a, _ in want}}
-    assert influence.edge_count(profiles, years).first().total_edges == len(want)
+    assert influence.edge_count(network).first().total_edges == len(want)
     if len(rows) > 20:
-        assert degrees(influence.in_degree(profiles, years)) == out
-    sample = [tuple(r) for r in influence.edge_sample(profiles, 10, years).collect()]
+        assert degrees(influence.in_degree(network)) == out
+    sample = [tuple(r) for r in influence.edge_sample(network, 10).collect()]
     assert sample == sorted(want)[:10]
 
 
 def test_profile_spans(spark):
     rows = [("a", 2000), ("a", 2011), ("a", 2011), ("a", 2023), ("b", 1999)]
-    found = {r.author: [tuple(s) for s in r.profile] for r in profiles_of(spark, rows).collect()}
+    books = spark.createDataFrame(rows, "author string, release_year int")
+    spans = influence.author_spans(books, 5).collect()
+    found = {r.author: [tuple(s) for s in r.spans] for r in spans}
     assert found == {"a": [(2000, 2011), (2023, 2023)], "b": [(1999, 1999)]}
 
 
 def test_a_third_of_the_authors_in_one_year(spark, monkeypatch):
     rows = [(f"H{i}", 2004) for i in range(60)] + random_rows(5, 60, 120, 1950, 2020)
     monkeypatch.setattr(influence, "blocks", lambda df: pairs.blocks(df, bits=3))
-    profiles = profiles_of(spark, rows)
+    network = network_of(spark, rows)
     want = brute_force(rows, 5)
-    assert edges(influence.influence_edges(profiles)) == want
-    assert influence.edge_count(profiles).first().total_edges == len(want)
+    assert edges(influence.influence_edges(network)) == want
+    assert influence.edge_count(network).first().total_edges == len(want)
 
 
 def test_degrees_list_no_pairs_of_authors(spark):
-    profiles = profiles_of(spark, [(f"H{i}", 2000 + i % 3) for i in range(3000)])
-    top = influence.top_degree(influence.out_degree(profiles), 2)
+    network = network_of(spark, [(f"H{i}", 2000 + i % 3) for i in range(3000)])
+    top = influence.top_degree(influence.out_degree(network), 2)
     assert [tuple(r) for r in top.collect()] == [("H0", 2999), ("H1", 2999)]
-    linked = influence.linked_profiles(profiles)
-    assert linked.count() == 9
+    assert network.links.count() == 9
 
 
 def test_no_authors(spark):
-    profiles = profiles_of(spark, [("a", 1)]).limit(0)
-    assert influence.edge_count(profiles).first().total_edges == 0
-    assert influence.influence_edges(profiles).count() == 0
-    assert influence.edge_sample(profiles).count() == 0
+    network = network_of(spark, [])
+    assert influence.edge_count(network).first().total_edges == 0
+    assert influence.influence_edges(network).count() == 0
+    assert influence.edge_sample(network).count() == 0
