@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # What separates words: anything but ASCII letters, digits and apostrophes, or white space only.
-_SEPARATORS = {"clean": "[^a-zA-Z0-9']+", "whitespace": "[ \t\n\r\f]+"}
+# The first is [^a-zA-Z0-9'] put in terms of \W, which Java matches several times faster.
+_SEPARATORS = {"clean": r"[\W_&&[^']]+", "whitespace": "[ \t\n\r\f]+"}
 
 
 def word_count(lines: DataFrame, mode: str = "clean", column: str = "value") -> DataFrame:
