@@ -16,7 +16,7 @@ from bookloom.operators import influence, metadata, similarity, stats, wordcount
 from bookloom.operators import terms as term_ops  # noqa: E402
 from bookloom.plans import analyses  # noqa: E402
 from bookloom.plans.analyses import rounded  # noqa: E402
-from bookloom.sources import books_from_documents, read_table, spread  # noqa: E402
+from bookloom.sources import books_from_documents, read_table  # noqa: E402
 from bookloom.sources.documents import duckdb_statement  # noqa: E402
 
 TARGET = "10.txt"
@@ -24,7 +24,7 @@ MIN_COSINE = 0.5
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents"), "doc_id")
+    return read_table(spark, folder, "documents")
 
 
 def _books(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,8 +90,25 @@ def _similar_books(books: DataFrame) -> DataFrame:
     return similarity.top_similar(rounded(analyses.cosines(books, TARGET), "cosine"))
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the ``llm`` subpackage and of the pipeline, unless they were removed."""
+    try:
+        import bookloom.llm.queries as llm
+        import corpus_pipeline as pipeline
+    except ModuleNotFoundError as error:
+        if not (error.name or "").startswith(("bookloom.llm", "corpus_pipeline")):
+            raise
+        return {}, {}
+    sql = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
+    return llm.queries() | {"pipeline": pipeline.run}, llm.oracle_sql() | sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes ``(spark, sf_dir)``."""
+    return _book_queries() | _training_data()[0]
+
+
+def _book_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "book_metadata": _on_metadata(
             lambda md: md.select(
@@ -237,6 +254,10 @@ def _words(pieces: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL for DuckDB that must give the same rows as the query of the same name."""
+    return _book_sql() | _training_data()[1]
+
+
+def _book_sql() -> dict[str, str]:
     return {
         "book_metadata": _with(_MD, "select * from md"),
         "books_per_year": _with(

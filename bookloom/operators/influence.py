@@ -19,7 +19,6 @@ from ..functions import fixed
 from ..functions.columns import fence
 from ..sources.staging import stage
 from .pairs import blocks, deal, pair_members
-from .terms import bounded
 
 _SALTS = 16  # parts into which the profiles that reach a year are dealt
 
@@ -149,7 +148,7 @@ def edge_sample(network: Network, rows: int = 10) -> DataFrame:
     They start at the first ``rows`` authors that have a link at all, so only those are joined.
     """
     first = stage(out_degree(network).orderBy("author").limit(rows).select("author"), "first")
-    starts = network.authors.join(bounded(first, rows), "author").select(
+    starts = network.authors.join(first, "author").select(
         F.col("author").alias("author1"), F.col("profile").alias("group_a")
     )
     ends = network.authors.select(

@@ -3,14 +3,14 @@
 from .books import read_books, read_lines
 from .documents import books_from_documents, read_table
 from .sinks import write_counts
-from .staging import spread, stage
+from .staging import stage, staging
 
 __all__ = [
     "books_from_documents",
     "read_books",
     "read_lines",
     "read_table",
-    "spread",
+    "staging",
     "stage",
     "write_counts",
 ]

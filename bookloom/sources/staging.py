@@ -1,30 +1,40 @@
-"""Tables written once and read by several later steps, and the spreading of small scans."""
+"""Tables written once to a shared folder and read by several later steps."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="bookloom-")
+_scope: ContextVar[str | None] = ContextVar("staging_scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one in local mode only."""
+    """The folder that ``spark.checkpoint.dir`` names, else one in ``spark.sql.warehouse.dir``.
+
+    The same rule holds in every mode: both settings name storage that all executors reach.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise RuntimeError(
-        "set spark.checkpoint.dir to a folder that every executor can reach; "
-        "staged tables must outlive a lost executor"
-    )
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A scope whose staged tables are deleted at its end; yields their folder.
+
+    Results that read staged tables must be written or collected inside the scope.
+    """
+    folder = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    before = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -32,17 +42,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where several branches of a query need the same costly result: the texts are then
     scanned once, the plan starts anew at a columnar table, and losing an executor loses nothing.
+    Outside a ``staging`` scope nothing deletes the table.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scope.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when a scan has fewer partitions than the cluster has cores.
-
-    A file with a single row group is one task however large the cluster. A scan of real size
-    has far more partitions than cores, and is returned as it is: its texts are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -27,14 +27,14 @@ def ordered(names, rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract._book_queries()) == set(contract._book_sql())
 
 
 def test_flagship(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", contract.oracle_sql())
 def test_same_as_sql(spark, database, name):
     found = contract.queries()[name](spark, FOLDER)
     rows = found.collect()

@@ -69,26 +69,18 @@ def test_staged_tables_go_to_the_named_folder(spark):
     assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
 
 
-class _Session:
-    """A session without ``spark.checkpoint.dir``."""
+def test_without_a_named_folder_the_warehouse_is_used():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return "/house" if key == "spark.sql.warehouse.dir" else default
 
-    class conf:
-        @staticmethod
-        def get(key, default):
-            return default
+    assert staging.shared_folder(Session()) == "/house/_staged"
 
-    def __init__(self, master):
-        self.sparkContext = type("Context", (), {"master": master})
 
-
-def test_no_machine_local_folder_on_a_cluster():
-    assert os.path.isdir(staging.shared_folder(_Session("local[2]")))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        staging.shared_folder(_Session("spark://host:7077"))
-
-
-def test_only_small_scans_are_spread(spark):
-    few = spark.range(0, 100, 1, 1)
-    many = spark.range(0, 100, 1, 16)
-    assert sources.spread(few, "id").rdd.getNumPartitions() == 4
-    assert sources.spread(many, "id") is many
+def test_a_scope_deletes_its_tables(spark):
+    with sources.staging(spark) as folder:
+        staged = sources.stage(spark.range(5), "numbers")
+        assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
+    assert not os.path.exists(folder.removeprefix("file:"))
