@@ -293,8 +293,9 @@ def verified(
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    # The families' ids grow with the documents, so they are not broadcast, however few they are.
     return (
-        texts.join(cells, "doc_id").groupBy("group", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+        texts.join(cells.hint("merge"), "doc_id").groupBy("group", "i", "j").applyInArrow(verify, "a bigint, b bigint")
     )
 
 
