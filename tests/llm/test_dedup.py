@@ -1,0 +1,163 @@
+"""Near duplicates against brute force, and components against a plain search."""
+
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from bookloom.llm import dedup
+from bookloom.llm.components import components
+
+KIND = "doc_id bigint, text string, family string, bands int, first int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], KIND)
+
+
+def counted(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    if not words:
+        return {}
+    width = min(5, len(words))
+    found = {}
+    for i in range(len(words) - width + 1):
+        key = tuple(words[i : i + width])
+        found[key] = found.get(key, 0) + 1
+    return found
+
+
+def index_of(v, w):
+    if set(v.values()) | set(w.values()) == {1}:
+        return len(v.keys() & w.keys()) / len(v.keys() | w.keys())
+    total = 0.0
+    for i in v.keys() & w.keys():
+        total += 1 / sum(max(v.get(j, 0) / v[i], w.get(j, 0) / w[i]) for j in v.keys() | w.keys())
+    return total
+
+
+def classes(links, ids):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return {i: top(i) for i in ids}
+
+
+def brute(rows):
+    sets = {i: counted(t) for i, t in rows}
+    ids = sorted(sets)
+    near = lambda a, b: sets[a] == sets[b] or index_of(sets[a], sets[b]) >= 0.8
+    return classes([(a, b) for a in ids for b in ids if a < b and sets[a] and near(a, b)], ids)
+
+
+def found(df):
+    return {r.doc_id: r.class_id for r in df.collect()}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def collection(seed, bases=12):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    rows = []
+    for _ in range(bases):
+        words = rng.choices(vocabulary, k=rng.choice([8, 40, 150]))
+        rows.append(" ".join(words))
+        rows += [edited(rng, words, rng.randrange(0, 1 + len(words) // 25)) for _ in range(6)]
+        rows.append(passage + " " + " ".join(rng.choices(vocabulary, k=50)))
+    repeated = " ".join(["same line of words here"] * 12)
+    rows += [repeated, repeated + " and an end", "Same LINE of words, here! " * 12, "one two", "one two.", "three"]
+    rng.shuffle(rows)
+    return list(enumerate(rows, 100))
+
+
+def test_same_classes_as_brute_force(spark):
+    rows = collection(5)
+    result = dedup.near_duplicates(table(spark, rows))
+    wanted = brute(rows)
+    assert found(result) == wanted
+    sizes = {r.doc_id: r.copies for r in result.collect()}
+    assert all(sizes[i] == sum(c == wanted[i] for c in wanted.values()) for i in wanted)
+
+
+def test_a_large_group_of_near_copies_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FAMILY_ROWS", 16)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, words, rng.randrange(0, 4))) for i in range(150)]
+    rows += [(1000 + i, "an exact copy of a text with some words") for i in range(200)]
+    assert found(dedup.near_duplicates(table(spark, rows))) == brute(rows)
+
+
+def test_texts_without_words_and_repeated_rows(spark):
+    rows = [(1, None), (2, ""), (3, "..."), (4, None), (None, "a b c d e f"), (5, "a b c d e f"),
+            (6, "A b c, d e f"), (6, "A b c, d e f")]
+    df = table(spark, rows)
+    assert found(dedup.near_duplicates(df)) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+    kept = dedup.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == [
+        (0, "a b c d e f"), (3, "..."), (5, "a b c d e f")]
+    assert sorted(r.doc_id for r in kept.collect() if not r.text) == [1, 2, 4]
+    assert dedup.near_duplicates(table(spark, [])).collect() == []
+    assert dedup.keep_representatives(table(spark, [])).collect() == []
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, edited(rng, words, 500)), (3, " ".join(words[:20_000]))]
+    assert found(dedup.near_duplicates(table(spark, rows))) == {1: 1, 2: 1, 3: 3}
+
+
+def test_index_and_its_estimate():
+    of = dedup.word_hashes()
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(300)) for _ in range(2)]
+    texts.append(texts[0] + " " + " ".join(["again and again and again"] * 20))
+    texts.append(edited(rng, texts[0].split(), 12))
+    sets = [dedup.weighted_sets([dedup.shingles(of(t))]) for t in texts]
+    whole = dedup.weighted_sets([dedup.shingles(of(t)) for t in texts])
+    signature = dedup.signatures(whole)
+    for i in range(4):
+        for j in range(4):
+            exact = index_of(counted(texts[i]), counted(texts[j]))
+            assert abs(dedup.probability_jaccard(sets[i], sets[j]) - exact) < 1e-9
+            assert abs((signature[i] == signature[j]).mean() - exact) < 0.17
+    single = np.vstack([dedup.signatures(one) for one in sets])
+    assert (single == signature).all()  # a set's signature does not depend on its neighbours
+
+
+def test_estimate_is_unbiased_over_many_sets():
+    rng = np.random.default_rng(0)
+    errors = []
+    for _ in range(60):
+        common, own = rng.integers(1, 2**62, 40, dtype=np.uint64), rng.integers(1, 2**62, 20, dtype=np.uint64)
+        sets = dedup.weighted_sets([common, np.concatenate([common, own])])
+        a, b = dedup.signatures(sets)
+        errors.append((a == b).mean() - 40 / 60)
+    assert abs(np.mean(errors)) < 0.02
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)]
+    links += [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(80)] + [(5000, 5000)]
+    ids = {i for link in links for i in link if link[0] != link[1]}
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    assert {r.id: r.component for r in components(df).collect()} == classes(links[:-1], ids | {5000} - {5000})
+    assert components(df.where(F.lit(False))).collect() == []
