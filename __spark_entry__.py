@@ -16,15 +16,14 @@ from bookloom.operators import influence, metadata, similarity, stats, wordcount
 from bookloom.operators import terms as term_ops  # noqa: E402
 from bookloom.plans import analyses  # noqa: E402
 from bookloom.plans.analyses import rounded  # noqa: E402
-from bookloom.sources import books_from_documents, read_table  # noqa: E402
-from bookloom.sources.documents import duckdb_statement  # noqa: E402
+from document_books import books_from_documents, duckdb_statement  # noqa: E402
 
 TARGET = "10.txt"
 MIN_COSINE = 0.5
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents")
+    return spark.read.parquet(f"{folder}/documents.parquet")
 
 
 def _books(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,8 +80,8 @@ def _tfidf(terms: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def _tfidf_normalized(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    weights = term_ops.tfidf(terms, idf).select("file_name", "term", "weight")
-    return rounded(term_ops.normalize(weights), "weight")
+    weights = term_ops.normalize(term_ops.tfidf(terms, idf))
+    return rounded(weights.select("file_name", "term", "weight"), "weight")
 
 
 def _similar_books(books: DataFrame) -> DataFrame:

@@ -18,6 +18,14 @@ AUTHOR_BY = (
 )
 AUTHOR_BY_ALONE = r"(?im)^\s*By\s+([A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){0,7})\s*$"
 
+# The same, as they are searched for. Blank lines before an author's line are not part of the
+# name, and ``^\s*`` starts over them from each line of a blank run, which is quadratic. A match
+# that stays in the line of its first letter has the same group, and there is one wherever there
+# is the other: what stands between the last line end of the blanks and the letter is blank.
+_INDENT = r"[ \t\x0B\f]*"
+SEARCHED_LABEL = AUTHOR_LABEL.replace(r"^\s*", "^" + _INDENT, 1)
+SEARCHED_BY = AUTHOR_BY.replace(r"^\s*", "^" + _INDENT, 1)
+
 # --- fixed values: accepted languages and rejected authors -------------------------------
 LANGUAGES = (
     "English", "Latin", "French", "German", "Spanish",

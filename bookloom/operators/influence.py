@@ -3,32 +3,38 @@
 An author's years fall into spans: runs whose neighbours are at most ``2 * years + 1`` apart.
 Two authors are linked exactly if a span of one lies within ``years`` of a span of the other.
 (A gap inside a span is too narrow to hold a year that is further than ``years`` from both of
-its ends.) So authors with the same spans have the same neighbours, and links are worked out
-between the distinct lists of spans, called profiles. There are few of them, whatever the number
-of authors. Degrees follow from profile sizes, without listing a single pair of authors.
+its ends.) So authors with the same spans have the same neighbours, and what is said of links is
+said of the distinct lists of spans, called profiles.
+
+Degrees need no list of links. What a span reaches is an interval of years, and an author without
+a year in it has exactly one gap between spans (or before the first, or after the last) around
+it: those authors are a count of points that dominate another point. Only profiles of several
+spans meet each other one by one.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import fence
 from ..sources.staging import stage
-from .pairs import blocks, deal, pair_members
+from .pairs import blocks, pair_members
 
-_SALTS = 16  # parts into which the profiles that reach a year are dealt
+# Bounds beyond any year of four digits and what it reaches.
+_BEFORE, _AFTER = -100_000, 100_000
+_BITS = 18  # of a bound that is counted from ``_BEFORE``
 
 
 class Network(NamedTuple):
-    """Authors, profiles and links between profiles, as staged by ``author_network``."""
+    """Authors and profiles, as staged by ``author_network``."""
 
     authors: DataFrame  # author, profile
     profiles: DataFrame  # profile (its number), spans, authors (how many have it)
-    links: DataFrame  # group_a, group_b (numbers of profiles)
+    years: int  # how far apart linked authors' books may be
 
 
 def author_network(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS) -> Network:
@@ -42,8 +48,7 @@ def author_network(valid_books: DataFrame, years: int = fixed.INFLUENCE_YEARS) -
         "profiles",
     )
     authors = spans.join(profiles, "spans").select("author", "profile")
-    links = linked_profiles(profiles, years)
-    return Network(stage(authors, "authors"), profiles, stage(links, "links"))
+    return Network(stage(authors, "authors"), profiles, years)
 
 
 def author_spans(valid_books: DataFrame, years: int) -> DataFrame:
@@ -71,29 +76,34 @@ def author_spans(valid_books: DataFrame, years: int) -> DataFrame:
     return ends.select("author", spans.alias("spans"))
 
 
-def linked_profiles(profiles: DataFrame, years: int) -> DataFrame:
-    """``group_a, group_b``: distinct ordered pairs of profiles within reach, each with itself.
+def linked_profiles(some: DataFrame, profiles: DataFrame, years: int) -> DataFrame:
+    """``group_a, group_b``: the profiles within reach of each of ``some``, itself included.
 
     The band condition is an equi-join: of two spans within reach, the one that starts later
     starts in a year between the start of the other and ``years`` after its end. There are few
-    years and one may dominate, so the profiles reaching a year are dealt into parts.
+    years and one may dominate, so both sides of a year are cut into blocks.
     """
-    spans = profiles.select("profile", F.inline("spans"))
-    reach = spans.select(
-        F.col("profile").alias("group_a"),
-        F.pmod(F.hash("profile"), F.lit(_SALTS)).alias("salt"),
-        F.explode(F.sequence("first", F.col("last") + years)).alias("year"),
-    )
-    salts = F.array(*[F.lit(salt) for salt in range(_SALTS)])
-    starts = spans.select(
-        F.col("profile").alias("group_b"), F.col("first").alias("year"), F.explode(salts).alias("salt")
-    )
-    ways = [("group_a", "group_b"), ("group_b", "group_a")]
-    both_ways = F.array(
-        *[F.struct(F.col(a).alias("group_a"), F.col(b).alias("group_b")) for a, b in ways]
-    )
-    meeting = deal(reach, "year", "salt").join(starts, ["year", "salt"])
-    return meeting.select(F.inline(both_ways)).distinct()
+
+    def reach(side: DataFrame) -> DataFrame:
+        year = F.explode(F.sequence("first", F.col("last") + years)).alias("group")
+        return stage(blocks(_spans(side).select(year, F.col("profile").alias("member"))), "reach")
+
+    def starts(side: DataFrame) -> DataFrame:
+        spans = _spans(side).select(F.col("first").alias("group"), F.col("profile").alias("member"))
+        return stage(blocks(spans), "starts")
+
+    later = pair_members(reach(some), starts(profiles))
+    if some is profiles:
+        sooner = later.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    else:
+        sooner = pair_members(starts(some), reach(profiles))
+    return later.unionByName(sooner).select(
+        F.col("a").alias("group_a"), F.col("b").alias("group_b")
+    ).distinct()
+
+
+def _spans(profiles: DataFrame) -> DataFrame:
+    return profiles.select("profile", F.inline("spans"))
 
 
 def influence_edges(network: Network) -> DataFrame:
@@ -102,44 +112,127 @@ def influence_edges(network: Network) -> DataFrame:
     An author has one profile, so pairs of linked profiles give distinct pairs of authors and
     the long list needs no ``distinct``. For numbers of links use the degrees.
     """
-    members = blocks(
-        network.authors.select(F.col("profile").alias("group"), F.col("author").alias("member"))
+    members = stage(
+        blocks(
+            network.authors.select(F.col("profile").alias("group"), F.col("author").alias("member"))
+        ),
+        "members",
     )
+    links = linked_profiles(network.profiles, network.profiles, network.years)
     return (
-        pair_members(members, members, network.links)
+        pair_members(members, members, links)
         .where(F.col("a") != F.col("b"))
         .select(F.col("a").alias("author1"), F.col("b").alias("author2"))
     )
 
 
-def _profile_degrees(network: Network, by: str, counted: str) -> DataFrame:
-    """``profile, degree``: number of links of each author with that profile."""
-    sizes = network.profiles.select(F.col("profile").alias(counted), "authors")
+def dominated(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """``key, total``: of every query, the sum of ``n`` over points ``x < x`` and ``y > y`` of its own.
+
+    ``points`` are ``x, y, n``, ``queries`` are ``key, x, y``. A point belongs to one block of
+    numbers of every size that is a power of two; the numbers below a query's are a few whole
+    blocks, one for each of its bits. Within a block, rows are summed in the order of ``y``, so
+    the largest group are the distinct points, whatever they count. A key without such points
+    has no row.
+    """
+    place = F.col("x") - _BEFORE
+    bits = F.explode(F.sequence(F.lit(0), F.lit(_BITS - 1))).alias("bit")
+    block = F.call_function("shiftright", place, F.col("bit"))
+    held = (
+        points.select("x", "y", "n", bits)
+        .groupBy("bit", block.alias("block"), "y")
+        .agg(F.sum("n").alias("n"))
+        .select("bit", "block", "y", "n", F.lit(None).cast("bigint").alias("key"))
+    )
+    asked = (
+        queries.select("key", "x", "y", bits)
+        .where(block.bitwiseAND(F.lit(1)) == 1)
+        .select("bit", (block - 1).alias("block"), "y", F.lit(0).alias("n"), "key")
+    )
+    # At the same y a query comes before the points, which are not larger.
+    above = Window.partitionBy("bit", "block").orderBy(F.desc("y"), F.col("key").desc_nulls_last())
+    summed = F.sum("n").over(above.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        network.links.join(sizes, counted)
-        .groupBy(F.col(by).alias("profile"))
-        .agg((F.sum("authors") - 1).alias("degree"))  # all but the author
-        .where(F.col("degree") > 0)
+        held.unionByName(asked)
+        .withColumn("above", summed)
+        .where(F.col("key").isNotNull())
+        .groupBy("key")
+        .agg(F.sum("above").alias("total"))
     )
 
 
+def _gaps(before: Column, after: Column) -> Column:
+    """The gaps around and between spans: ``x`` ends what is before, ``y`` starts what is after."""
+    firsts = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.lit(_AFTER)))
+    lasts = F.concat(F.array(F.lit(_BEFORE)), F.transform("spans", lambda s: s["last"]))
+    return F.zip_with(
+        lasts, firsts, lambda x, y: F.struct((x + before).alias("x"), (y - after).alias("y"))
+    )
+
+
+def _profile_degrees(network: Network) -> DataFrame:
+    """``profile, authors, degree``: number of links of each author with that profile."""
+    profiles, years = network.profiles, network.years
+    single = profiles.where(F.size("spans") == 1)
+    several = profiles.where(F.size("spans") > 1)
+    everyone = profiles.agg(F.coalesce(F.sum("authors"), F.lit(0))).scalar()
+    one_span = single.agg(F.coalesce(F.sum("authors"), F.lit(0))).scalar()
+
+    # An author with one span is linked to all that have no gap around what the span reaches.
+    around = profiles.select(F.inline(_gaps(F.lit(0), F.lit(0))), F.col("authors").alias("n"))
+    reached = _spans(single).select(
+        F.col("profile").alias("key"),
+        (F.col("first") - years).alias("x"),
+        (F.col("last") + years).alias("y"),
+    )
+    unlinked = dominated(around, reached)
+    of_single = single.join(unlinked, single["profile"] == unlinked["key"], "left").select(
+        "profile", "authors", (everyone - F.coalesce("total", F.lit(0)) - 1).alias("degree")
+    )
+
+    # An author with several is linked to all of one span, but for those inside a gap of what the
+    # spans reach, and to the profiles of several that are found to be within reach.
+    inside = several.select(
+        F.col("profile").alias("key"), F.inline(_gaps(F.lit(years), F.lit(years)))
+    )
+    # first > x and last < y, turned round: -first < -x and -last > -y.
+    turned = _spans(single).join(single.select("profile", "authors"), "profile").select(
+        (-F.col("first")).alias("x"), (-F.col("last")).alias("y"), F.col("authors").alias("n")
+    )
+    within = dominated(
+        turned.groupBy("x", "y").agg(F.sum("n").alias("n")),
+        inside.select("key", (-F.col("x")).alias("x"), (-F.col("y")).alias("y")),
+    )
+    met = linked_profiles(several, several, years)
+    sizes = several.select(F.col("profile").alias("group_b"), F.col("authors").alias("others"))
+    of_others = met.join(sizes, "group_b").groupBy("group_a").agg(F.sum("others").alias("others"))
+    of_several = (
+        several.join(of_others, several["profile"] == of_others["group_a"])
+        .join(within, several["profile"] == within["key"], "left")
+        .select(
+            "profile",
+            "authors",
+            (one_span - F.coalesce("total", F.lit(0)) + F.col("others") - 1).alias("degree"),
+        )
+    )
+    return of_single.unionByName(of_several).where(F.col("degree") > 0)
+
+
 def out_degree(network: Network) -> DataFrame:
     """``author, degree``: number of authors each author links to; linked authors only."""
-    degrees = _profile_degrees(network, "group_a", "group_b")
+    degrees = _profile_degrees(network).select("profile", "degree")
     return network.authors.join(degrees, "profile").select("author", "degree")
 
 
 def in_degree(network: Network) -> DataFrame:
     """``author, degree``: number of authors linking to each; links go both ways, so as above."""
-    degrees = _profile_degrees(network, "group_b", "group_a")
-    return network.authors.join(degrees, "profile").select("author", "degree")
+    return out_degree(network)
 
 
 def edge_count(network: Network) -> DataFrame:
     """Number of links, as the sum of degrees."""
-    degrees = _profile_degrees(network, "group_a", "group_b")
     total = F.coalesce(F.sum(F.col("degree") * F.col("authors")), F.lit(0))
-    return degrees.join(network.profiles, "profile").agg(total.alias("total_edges"))
+    return _profile_degrees(network).agg(total.alias("total_edges"))
 
 
 def edge_sample(network: Network, rows: int = 10) -> DataFrame:
@@ -147,15 +240,16 @@ def edge_sample(network: Network, rows: int = 10) -> DataFrame:
 
     They start at the first ``rows`` authors that have a link at all, so only those are joined.
     """
-    first = stage(out_degree(network).orderBy("author").limit(rows).select("author"), "first")
-    starts = network.authors.join(first, "author").select(
-        F.col("author").alias("author1"), F.col("profile").alias("group_a")
-    )
+    first = out_degree(network).orderBy("author").limit(rows).select("author")
+    starts = stage(network.authors.join(first, "author"), "starts")
+    some = network.profiles.join(starts.select("profile").distinct(), "profile", "left_semi")
+    links = linked_profiles(some, network.profiles, network.years)
+    starts = starts.select(F.col("author").alias("author1"), F.col("profile").alias("group_a"))
     ends = network.authors.select(
         F.col("author").alias("author2"), F.col("profile").alias("group_b")
     )
     return (
-        starts.join(network.links, "group_a")
+        starts.join(links, "group_a")
         .join(ends, "group_b")
         .where(F.col("author1") != F.col("author2"))
         .select("author1", "author2")

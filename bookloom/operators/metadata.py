@@ -51,12 +51,12 @@ def extract_authors(books: DataFrame) -> DataFrame:
     labelled = fence(
         books,
         ["file_name", "text"],
-        label=header_field(text, fixed.AUTHOR_LABEL),
+        label=header_field(text, fixed.SEARCHED_LABEL),
         release_date=header_field(text, fixed.RELEASE_DATE),
     )
     # The second search runs only for books without a labelled author.
     byline = F.when(F.col("label") != "", F.col("label")).otherwise(
-        header_field(text, fixed.AUTHOR_BY)
+        header_field(text, fixed.SEARCHED_BY)
     )
     return fence(labelled, ["file_name", "release_date"], author=byline).select(
         "file_name",

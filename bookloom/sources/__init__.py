@@ -1,16 +1,13 @@
 """Reading books and lines, writing word counts, and staging shared intermediate tables."""
 
 from .books import read_books, read_lines
-from .documents import books_from_documents, read_table
 from .sinks import write_counts
-from .staging import stage, staging
+from .staging import stage, staging_scope
 
 __all__ = [
-    "books_from_documents",
     "read_books",
     "read_lines",
-    "read_table",
-    "staging",
     "stage",
+    "staging_scope",
     "write_counts",
 ]

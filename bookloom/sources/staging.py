@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[str]:
+def staging_scope(spark: SparkSession) -> Iterator[str]:
     """A scope whose staged tables are deleted at its end; yields their folder.
 
     Results that read staged tables must be written or collected inside the scope.
@@ -42,7 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used where several branches of a query need the same costly result: the texts are then
     scanned once, the plan starts anew at a columnar table, and losing an executor loses nothing.
-    Outside a ``staging`` scope nothing deletes the table.
+    Outside a ``staging_scope`` nothing deletes the table.
     """
     path = f"{_scope.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -1,4 +1,4 @@
-"""The same weights as MLlib vectors, one row per book, for use with other MLlib stages."""
+"""The same weights by MLlib's stages, which the operators are held against."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from pyspark.ml.feature import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..functions.columns import body_tokens
-from .terms import MARKERS
+from bookloom.functions import fixed
+from bookloom.functions.columns import body_tokens
+from bookloom.operators.terms import MARKERS
 
 
 def token_arrays(books: DataFrame, markers: tuple[str, str] = MARKERS) -> DataFrame:

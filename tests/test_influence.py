@@ -70,7 +70,7 @@ def test_profile_spans(spark):
 
 def test_a_third_of_the_authors_in_one_year(spark, monkeypatch):
     rows = [(f"H{i}", 2004) for i in range(60)] + random_rows(5, 60, 120, 1950, 2020)
-    monkeypatch.setattr(influence, "blocks", lambda df: pairs.blocks(df, bits=3))
+    monkeypatch.setattr(influence, "blocks", lambda df: pairs.blocks(df, bits=3))  # 8 to a block
     network = network_of(spark, rows)
     want = brute_force(rows, 5)
     assert edges(influence.influence_edges(network)) == want
@@ -81,7 +81,7 @@ def test_degrees_list_no_pairs_of_authors(spark):
     network = network_of(spark, [(f"H{i}", 2000 + i % 3) for i in range(3000)])
     top = influence.top_degree(influence.out_degree(network), 2)
     assert [tuple(r) for r in top.collect()] == [("H0", 2999), ("H1", 2999)]
-    assert network.links.count() == 9
+    assert network.profiles.count() == 3
 
 
 def test_no_authors(spark):
@@ -89,3 +89,45 @@ def test_no_authors(spark):
     assert influence.edge_count(network).first().total_edges == 0
     assert influence.influence_edges(network).count() == 0
     assert influence.edge_sample(network).count() == 0
+
+
+def test_points_that_dominate(spark):
+    rng = random.Random(8)
+    points = [(rng.randrange(-30, 30), rng.randrange(-30, 30), rng.randrange(1, 5)) for _ in range(200)]
+    points += [(influence._BEFORE, 5, 2), (3, influence._AFTER, 7)]
+    queries = [(i, rng.randrange(-30, 30), rng.randrange(-30, 30)) for i in range(60)]
+    found = influence.dominated(
+        spark.createDataFrame(points, "x int, y int, n bigint"),
+        spark.createDataFrame(queries, "key bigint, x int, y int"),
+    )
+    want = {k: sum(n for px, py, n in points if px < x and py > y) for k, x, y in queries}
+    assert {r.key: r.total for r in found.collect() if r.total} == {k: n for k, n in want.items() if n}
+
+
+def test_thousands_of_authors_with_many_spans(spark, monkeypatch):
+    rng = random.Random(11)
+    met = []
+    linked = influence.linked_profiles
+    monkeypatch.setattr(influence, "linked_profiles", lambda a, b, y: met.append((a, b)) or linked(a, b, y))
+    rows = []
+    for i in range(2500):
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            rows.append((f"A{i}", rng.randrange(1500, 1800)))
+    rows += [(f"H{i}", 1700) for i in range(900)]
+    network = network_of(spark, rows)
+    years = {}
+    for author, year in rows:
+        years.setdefault(author, set()).add(year)
+    by_year = {}
+    for author, own in years.items():
+        for year in own:
+            by_year.setdefault(year, set()).add(author)
+    want = {}
+    for author, own in years.items():
+        near = set().union(*(by_year.get(y + d, ()) for y in own for d in range(-5, 6)))
+        if len(near) > 1:
+            want[author] = len(near) - 1
+    assert degrees(influence.out_degree(network)) == want
+    assert influence.edge_count(network).first().total_edges == sum(want.values())
+    # Only profiles of several spans meet one by one.
+    assert met and all(side.where("size(spans) = 1").count() == 0 for pair in met for side in pair)

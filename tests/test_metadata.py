@@ -1,4 +1,9 @@
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bookloom.functions import fixed
 from bookloom.operators import metadata, stats
@@ -137,3 +142,34 @@ def test_each_field_is_searched_once(spark, tmp_path, books):
 def test_unnamed_fields_are_not_searched(books):
     found = metadata.extract_metadata(books({"1": "Title: x"}), ["title"])
     assert found.columns == ["file_name", "title"]
+
+
+# The patterns as the definition of the results has them, independent of ``fixed``.
+LABEL = r"(?im)^\s*Author(?:s)?\s*:\s*(.+?)\s*$"
+BY = r"(?im)^\s*by\s+([A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+){0,7})\s*(?:,|\r?$)"
+
+
+def test_patterns_are_the_defined_ones():
+    assert (fixed.AUTHOR_LABEL, fixed.AUTHOR_BY) == (LABEL, BY)
+    assert fixed.SEARCHED_LABEL != LABEL and fixed.SEARCHED_BY != BY
+
+
+PIECES = ["\n", "\r", "\r\n", "\x0b", "\f", "\t", " ", "\x85", " ", "\n\n\n", "Author: ", "authors :", "by ", "BY\t",
+          "Mark", " Twain", ",", "x", "1", ":", "by Mark Twain,\n", "Author: Z \r\n", "-", "é"]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), min_size=60, max_size=60))
+def test_searched_patterns_find_the_same(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = [(LABEL, fixed.SEARCHED_LABEL), (BY, fixed.SEARCHED_BY)]
+    columns = [F.regexp_extract("text", p, 1) for pair in pairs for p in pair]
+    for row, text in zip(df.select(*columns).collect(), texts):
+        assert row[0] == row[1] and row[2] == row[3], repr(text)
+
+
+def test_blank_lines_are_searched_once(books):
+    start = time.perf_counter()
+    found = metadata.extract_authors(books({"1": "x\n" + "\n" * 1_000_000 + "by Mark Twain,\n"})).collect()
+    assert [r.author for r in found] == ["Mark Twain"]
+    assert time.perf_counter() - start < 60

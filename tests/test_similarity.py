@@ -5,6 +5,7 @@ import pytest
 
 from bookloom.operators import pairs, similarity, terms
 from bookloom.plans import analyses
+from bookloom import sources
 from bookloom.sources import stage
 
 from test_terms import WHALES
@@ -92,7 +93,7 @@ def test_many_copies_and_hot_terms_in_small_blocks(books, monkeypatch, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(similarity, "blocks", lambda df: pairs.blocks(df, bits=2))
-    monkeypatch.setattr(similarity, "_GROUP_BYTES", 2000)
+    monkeypatch.setattr(similarity, "_GROUP_BYTES", 2000)  # many parts and chunks
     texts = random_texts(9, 30, 40, 12)
     texts |= {f"c{i}": "whale sea ship" for i in range(25)}  # copies
     texts |= {f"d{i}": "whale " * (i + 1) + "sea" for i in range(10)}  # one hot term
@@ -121,3 +122,42 @@ def test_no_books(books):
     nothing = books({"1": "x"}).limit(0)
     assert analyses.book_pairs(nothing, 0.5).count() == 0
     assert analyses.similar_books(nothing, "1").count() == 0
+
+
+def test_books_of_the_same_name_from_files(spark, tmp_path):
+    texts = {"a/1.txt": "whale sea ship", "b/1.txt": "king queen sea", "a/2.txt": "whale ship king", "b/x.md": "sea king", "a/y.md": "queen sea"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    books = sources.read_books(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
+    found = analyses.similar_books(books, "2.txt")
+    assert sorted(r.file_name for r in found.collect()) == ["", "", "1.txt", "1.txt"]
+    out = str(tmp_path / "out")
+    found.write.parquet(out)
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_groups_of_pairs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_GROUP_BYTES", 60_000)
+    entry = "struct<term:int,unit:double>"
+    units = spark.range(4000).selectExpr(
+        "id", f"cast(transform(sequence(1, if(id % 500 = 0, 300, 5)), x -> struct(int(x), 0.1D)) as array<{entry}>) as entries"
+    )
+    hub = spark.range(1, 3000).selectExpr("0L as group_a", "id as group_b")  # one vector, many partners
+    long = spark.range(1, 8).selectExpr("500 * (id - 1) as group_a", "500 * id as group_b")
+    candidates = stage(hub.unionByName(long).distinct(), "candidates")
+    work = stage(similarity._work(units, candidates), "work")
+    assert work.count() == candidates.count()
+    sizes = {r.id: r.n for r in units.selectExpr("id", "size(entries) * 12 as n").collect()}
+    groups = {}
+    for r in work.collect():
+        groups.setdefault((r.part_a, r.part_b, r.chunk), set()).update([r.group_a, r.group_b])
+    held = [sum(sizes[i] for i in ids) for ids in groups.values()]
+    assert max(held) <= 2 * 60_000 and len(held) > 20
+
+
+def test_a_meeting_is_dropped_only_below_the_threshold(books):
+    texts = random_texts(12, 120, 60, 30)
+    for least in (0.2, 0.6, 0.9):
+        want = wanted_pairs(*all_cosines(books, texts), least)
+        assert found_pairs(analyses.book_pairs(books(texts), least)) == pytest.approx(want, abs=2e-6)

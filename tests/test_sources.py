@@ -80,7 +80,7 @@ def test_without_a_named_folder_the_warehouse_is_used():
 
 
 def test_a_scope_deletes_its_tables(spark):
-    with sources.staging(spark) as folder:
+    with sources.staging_scope(spark) as folder:
         staged = sources.stage(spark.range(5), "numbers")
         assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
     assert not os.path.exists(folder.removeprefix("file:"))

@@ -7,7 +7,10 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from bookloom.functions import fixed
-from bookloom.operators import terms, vectors
+from bookloom.operators import terms
+from bookloom.sources import stage
+
+import mllib_vectors as vectors
 
 START = "*** START OF THIS PROJECT GUTENBERG EBOOK X ***"
 END = "*** END OF THIS PROJECT GUTENBERG EBOOK X ***"
@@ -145,3 +148,22 @@ def test_same_weights_as_mllib(books):
             for i, value in zip(r.normalized_tfidf.indices, r.normalized_tfidf.values)
         }
         assert found == pytest.approx(want, abs=1e-12)
+
+
+def test_weights_of_a_book_are_not_shuffled_one_by_one(books):
+    counted = stage(terms.book_terms(books(WHALES)), "terms")
+    idf = stage(terms.idf(counted, terms.vocabulary(counted)), "idf")
+    unit = terms.normalize(terms.tfidf(counted, idf))
+    plan = unit._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("Window") : plan.index("Generate explode")]
+    assert "Exchange hashpartitioning" not in above
+    assert "Exchange hashpartitioning(book" in plan
+
+
+def test_books_of_the_same_name_are_apart(spark):
+    rows = [("1.txt", "whale sea ship"), ("1.txt", "king queen sea"), ("2.txt", "whale ship king")]
+    df = spark.createDataFrame(rows, "file_name string, text string")
+    counted = stage(terms.book_terms(df), "terms")
+    unit = terms.normalize(terms.tfidf(counted, terms.idf(counted, terms.vocabulary(counted))))
+    squares = unit.groupBy("book").agg(F.sum(F.col("weight") * F.col("weight")).alias("n"))
+    assert [r.n for r in squares.collect()] == pytest.approx([1.0, 1.0, 1.0])
