@@ -102,5 +102,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_URL_RULES = " ".join(
+    f"""when (host = '{rule.partition("/")[0]}' or ends_with(host, '.{rule.partition("/")[0]}'))
+             and starts_with(path, '/{rule.partition("/")[2]}') then '{{{number}}}'"""
+    for number, (rule, _) in enumerate(sorted(url_reputation.RULES, key=lambda r: -len(r[0])))
+)
+
+
+def _cases(column: int) -> str:
+    ordered = sorted(url_reputation.RULES, key=lambda r: -len(r[0]))
+    return f"case {_URL_RULES.format(*[rule[column] for rule in ordered])} end"
+
+
+def _shrunk(level: str, key: str, prior: str, prior_key: str) -> str:
+    """One level of the beta-binomial priors; ``prior`` names the level above."""
+    join = f"join {prior} u using ({prior_key})" if prior_key else "cross join (select m as mean from whole) u"
+    return f"""
+        select {key}, strength * u.mean + good as a, strength * (1 - u.mean) + labelled - good as b,
+               a / (a + b) as mean
+        from {level}_sums {join} cross join (
+          select least(greatest(coalesce(m * (1 - m) / nullif(sum(labelled * (good / labelled - m) ** 2)
+                   / sum(labelled), 0) - 1, 1000.0), 1.0), 1000.0) as strength
+          from {level}_sums, whole where labelled > 0 group by m) s"""
+
+
+_URLS_SQL = f"""
+    with parts as (
+      select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest
+      from pages),
+    split as (
+      select page_id,
+             translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+      from parts),
+    ruled as (select *, {_cases(0)} as rule, {_cases(1)} as by_rule from split),
+    host_sums as (
+      select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix,
+             sum(case by_rule when 'allow' then 1.0 else 0.0 end) as good, count(by_rule) as labelled
+      from ruled group by host),
+    domain_sums as (select domain, suffix, sum(good) as good, sum(labelled) as labelled from host_sums group by all),
+    suffix_sums as (select suffix, sum(good) as good, sum(labelled) as labelled from domain_sums group by all),
+    whole as (select coalesce(sum(good) / nullif(sum(labelled), 0), 0.5) as m from suffix_sums),
+    suffixes as ({_shrunk("suffix", "suffix", "", "")}),
+    domains as ({_shrunk("domain", "domain", "suffixes", "suffix")}),
+    hosts as ({_shrunk("host", "host", "domains", "domain")})
+    select page_id, host, path, rule,
+           coalesce(by_rule, case when mean + {url_reputation.DEVIATIONS} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+                                       < {url_reputation.THRESHOLD} then 'block' else 'allow' end) as verdict
+    from ruled join hosts using (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators train models, or read words and vectors in ways that SQL cannot."""
+    return {"op6_url_reputation": _URLS_SQL}
