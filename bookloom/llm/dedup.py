@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6  # of similar pairs at the threshold itself, 0.07 % share no band
 REGISTERS = 149  # a prime; the first BANDS * ROWS of them are read
 FAMILY_ROWS = 256  # documents verified together; a larger family is cut into such blocks
-_KEPT = 400_000  # words whose hashes a task remembers
+_KEPT = 150_000  # words whose hashes a task remembers
 _TEXTS = 128  # texts worked on at a time
 
 _LETTERS = re.compile(r"\w+")

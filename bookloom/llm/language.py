@@ -28,7 +28,7 @@ WIDTH = 8192  # of the hashed words and endings
 TEMPER = 0.5  # words of a text are not independent; their evidence counts by this much
 STRENGTH = 5.0  # pages that a prior counts for, at every level
 _SALTS = 16
-_KEPT = 400_000
+_KEPT = 150_000
 
 _HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(r"<[^>]*>")

@@ -28,7 +28,7 @@ TEMPER = 0.7  # default targets: shares of tokens to this power
 FRACTION = 0.5  # of all tokens that a sample should have
 TOLERANCE = 1e-3  # of a margin's share, relative
 MAX_ROUNDS = 20
-_KEPT = 400_000
+_KEPT = 150_000
 MARGINS = ("source", "lang", "topic")
 
 

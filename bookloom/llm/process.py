@@ -9,7 +9,7 @@ from typing import Any
 
 
 def once_per_process(key: Hashable, make: Callable[[], Any]) -> Any:
-    """``make()``, or what it gave an earlier task of this process.
+    """``make()``, or what it gave the task before, if that asked for the same ``key``.
 
     Functions of this package are pickled with their globals, so a module variable would start
     anew in every task; a module made here stays. Only for things that any task can make again.
@@ -17,5 +17,6 @@ def once_per_process(key: Hashable, make: Callable[[], Any]) -> Any:
     kept = sys.modules.setdefault("_bookloom_kept", types.ModuleType("_bookloom_kept"))
     values = kept.__dict__.setdefault("values", {})
     if key not in values:
+        values.clear()  # one thing at a time: workers outlive the query that they first ran for
         values[key] = make()
     return values[key]
