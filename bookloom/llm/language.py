@@ -42,7 +42,7 @@ def visible_text(html: str | None) -> str:
 
 def declared_language(html: str | None) -> str | None:
     """The primary tag of ``<html lang=…>``, lower case."""
-    found = _DECLARED.search((html or "")[:100_000])
+    found = _DECLARED.search(html or "")
     return found[1].lower() if found else None
 
 
