@@ -77,14 +77,15 @@ def fit_topics(
 
     def profile(batches):
         for batch in batches:
-            rows = [word_profile(text)[1] for text in batch.column(1).to_pylist()]
+            rows = [word_profile(text)[1].astype("<f4").tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["place", "x"]
+                [batch.column(0), pa.array(rows, pa.binary())], ["place", "x"]
             )
 
     rows = chosen.select(order.alias("place"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(profile, "place bigint, x array<double>").orderBy("place", "x")
-    points = np.array([row["x"] for row in found.limit(TOPIC_SAMPLE).collect()]).reshape(-1, WIDTH)
+    found = rows.mapInArrow(profile, "place bigint, x binary").orderBy("place", "x").limit(TOPIC_SAMPLE)
+    points = np.frombuffer(b"".join(found.toArrow()["x"].to_pylist()), "<f4")
+    points = points.astype(float).reshape(-1, WIDTH)
     points = np.unique(points, axis=0)
     if not len(points):
         return Topics(np.zeros((1, WIDTH)))
@@ -118,25 +119,27 @@ def rake(
     Rounds end when none changes a weight by more than ``tolerance``, relative, in any margin.
     """
     total = cells.agg(F.sum("tokens")).scalar()
-    cells = cells.where(F.col("tokens") > 0)
-    raked = stage(cells.withColumn("weight", F.col("tokens") / total), "raked")
-    targets = {name: stage(target, "target") for name, target in targets.items()}
+    raked = cells.where(F.col("tokens") > 0).withColumn("weight", F.col("tokens") / total)
+    for name, target in targets.items():
+        share = target.select(name, F.col("share").alias(f"_to{name}"))
+        raked = raked.join(share, name, "left")
+    names = raked.columns
+    raked = stage(raked, "raked")
     for _ in range(max_rounds):
-        for name, target in targets.items():
+        for name in targets:
             now = raked.groupBy(name).agg(F.sum("weight").alias("_now"))
-            scale = F.coalesce(F.try_divide("share", "_now"), F.lit(0.0))
-            factor = now.join(target, name).select(name, scale.alias(f"_by{name}"))
-            raked = raked.join(factor, name, "left").withColumn(
-                "weight", F.col("weight") * F.coalesce(f"_by{name}", F.lit(0.0))
-            )
+            scale = F.coalesce(F.try_divide(F.col(f"_to{name}"), F.col("_now")), F.lit(0.0))
+            # Merged, as the values of a margin have no bound: a broadcast a step fills the driver.
+            raked = raked.join(now.hint("merge"), name).withColumn(f"_by{name}", scale)
+            raked = raked.withColumn("weight", F.col("weight") * F.col(f"_by{name}")).drop("_now")
         raked = stage(raked, "raked")
         # Factors near 1: every margin was near its target before the round, and is nearer now.
-        moved = F.greatest(*[F.abs(F.coalesce(f"_by{n}", F.lit(0.0)) - 1) for n in targets], F.lit(0.0))
+        moved = F.greatest(*[F.abs(F.col(f"_by{name}") - 1) for name in targets], F.lit(0.0))
         worst = raked.where("weight > 0").agg(F.max(moved)).first()[0] or 0.0
-        raked = raked.drop(*[f"_by{name}" for name in targets])
+        raked = raked.select(*names)
         if worst <= tolerance:
             break
-    return raked
+    return raked.drop(*[f"_to{name}" for name in targets])
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
