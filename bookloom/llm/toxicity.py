@@ -31,6 +31,8 @@ LEXICON = 600  # entries
 LEXICONS = 8  # voters that the entries of a kind are dealt to
 BEGINNINGS = (4, 5)  # letters of the beginnings of longer words
 MIN_DOCUMENTS = 3  # toxic ones that an entry stands in
+CANDIDATES = 4000  # entries that are looked at, the best by ratio and number of documents
+COVER = 3  # entries that a toxic document is explained by; more of them say nothing new
 MIN_RATIO = 20.0  # of the shares of toxic and of other documents with the entry
 ROUNDS = 30  # of the label model
 
@@ -71,7 +73,9 @@ class Lexicon(NamedTuple):
 def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     """The entries of ``known`` (``doc_id, text, label``) that mark toxic documents best.
 
-    Copies of a text count once, so that a text copied often does not make its words toxic.
+    Copies of a text count once. An entry has to explain toxic documents that the better entries
+    do not explain yet: the other words of a toxic text that has many near copies stand in toxic
+    documents only as well, but always beside the words that make them toxic.
     """
 
     def count(batches):
@@ -100,9 +104,19 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     chosen = (
         counts.where((F.col("bad") >= MIN_DOCUMENTS) & (ratio >= MIN_RATIO))
         .orderBy(F.desc(F.log(ratio) * F.log1p("bad")), "entry")
-        .limit(LEXICON)
+        .limit(CANDIDATES)
     )
     entries = [row["entry"] for row in chosen.collect()]
+    candidates = Lexicon({e: i for i, e in enumerate(entries)}, np.zeros(len(entries), int))
+
+    def look_up(batches):
+        for batch in batches:
+            hits = [candidates.found(text) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
+
+    # At most as many rows as there are labelled documents in the sample.
+    toxic_texts = once.where("label = 1").select("text").mapInArrow(look_up, "hits array<int>")
+    entries = [entries[i] for i in explaining(toxic_texts.toArrow()["hits"].to_pylist(), len(entries))]
     # Dealt in turn by rank, so that every lexicon has strong entries; kinds stay apart.
     kinds, voters = Counter(), []
     for entry in entries:
@@ -112,6 +126,20 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     return Lexicon({e: i for i, e in enumerate(entries)}, np.array(voters, int))
 
 
+def explaining(hits: list[list[int]], count: int) -> list[int]:
+    """Of entries in order of merit, those that stand in documents not yet explained ``COVER`` times."""
+    documents: list[list[int]] = [[] for _ in range(count)]
+    for number, own in enumerate(hits):
+        for entry in own:
+            documents[entry].append(number)
+    explained, chosen = np.zeros(len(hits), int), []
+    for entry, own in enumerate(documents):
+        if len(chosen) < LEXICON and (explained[own] < COVER).sum() >= MIN_DOCUMENTS:
+            explained[own] += 1
+            chosen.append(entry)
+    return chosen
+
+
 def _tallied(tally: Counter) -> pa.RecordBatch:
     entries, labels = zip(*tally) if tally else ((), ())
     return pa.RecordBatch.from_arrays(

@@ -109,6 +109,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(table(spark, []), model).collect() == []
 
 
+def test_other_words_of_copied_toxic_texts_are_not_mined(spark):
+    rng = random.Random(7)
+    rows = [(i, spoken(rng, i % 8 == 0, "x")) for i in range(400)]
+    rare = " ".join(f"rare{c}{d}" for c in "abcdefg" for d in "hijklmn")
+    rows += [(1000 + i, f"{rare} scoundrel knave villain copy{chr(97 + i % 26)}") for i in range(40)]
+    known = [(i, int(i % 8 == 0)) for i in range(400)] + [(1000 + i, 1) for i in range(40)]
+    clean = [(2000 + i, f"{rare} copy{chr(97 + i)}") for i in range(20)]
+    model = toxicity.fit(table(spark, rows + clean), labels(spark, known))
+    assert not any(entry.startswith("rare") for entry in model.lexicon.places)
+    scores = toxicity.score_documents(table(spark, clean), model).collect()
+    assert all(r.score < 0.3 for r in scores)
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(4)
     truth = rng.random(40_000) < 0.1
