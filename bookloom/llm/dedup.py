@@ -31,7 +31,7 @@ BANDS, ROWS = 24, 6  # of similar pairs at the threshold itself, 0.07 % share no
 REGISTERS = 149  # a prime; the first BANDS * ROWS of them are read
 FAMILY_ROWS = 256  # documents verified together; a larger family is cut into such blocks
 _KEPT = 150_000  # words whose hashes a task remembers
-_TEXTS = 128  # texts worked on at a time
+_TEXTS = 64  # texts worked on at a time
 
 _LETTERS = re.compile(r"\w+")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64's constants
@@ -226,7 +226,7 @@ def similar_links(ids: list, texts: list, of: Callable, least: float) -> list[tu
     cover = np.zeros((len(each), len(each)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column, share = row[order], column[order], share[order]
-    width = 8192
+    width = 2048
     for begin in range(0, int(column.max(initial=-1)) + 1, width):
         lo, hi = np.searchsorted(column, [begin, begin + width])
         there = np.zeros((len(each), width), np.float32)

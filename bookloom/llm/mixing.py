@@ -12,14 +12,13 @@ from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .process import once_per_process
+from .process import once_per_process, slices
 
 TOPICS = 8
 TOPIC_SAMPLE = 2000  # documents that topics are fitted on, those of the smallest hashes
@@ -56,13 +55,19 @@ class Topics(NamedTuple):
         """``topic`` and ``tokens`` (words) of a text, as a struct; a null text counts as empty."""
         centres, half = self.centres, (self.centres**2).sum(1) / 2
 
-        @F.pandas_udf("topic int, tokens bigint")
-        def describe(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def nearest(row: np.ndarray) -> int:
+            return int((centres @ row - half).argmax())
+
+        @F.arrow_udf("topic int, tokens bigint")
+        def describe(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in texts:
-                found = [word_profile(text) for text in part]
-                rows = np.array([row for _, row in found]).reshape(len(found), WIDTH)
-                near = (rows @ centres.T - half).argmax(1)
-                yield pd.DataFrame({"topic": near.astype("int32"), "tokens": [n for n, _ in found]})
+                found = []
+                for some in slices(part):
+                    profiles = (word_profile(text) for text in some)
+                    found += [(nearest(row), n) for n, row in profiles]
+                topics = pa.array([topic for topic, _ in found], pa.int32())
+                tokens = pa.array([n for _, n in found], pa.int64())
+                yield pa.StructArray.from_arrays([topics, tokens], ["topic", "tokens"])
 
         return describe(documents[text])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .process import once_per_process
+from .process import once_per_process, slices
 
 CAPACITY = 4096
 _KEPT = 300_000  # entries that a task remembers of tokens
@@ -99,7 +99,8 @@ def cut_documents(
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = (text for some in slices(batch.column(1)) for text in some)
+            for doc, text in zip(batch.column(0).to_pylist(), texts):
                 ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

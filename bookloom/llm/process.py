@@ -20,3 +20,12 @@ def once_per_process(key: Hashable, make: Callable[[], Any]) -> Any:
         values.clear()  # one thing at a time: workers outlive the query that they first ran for
         values[key] = make()
     return values[key]
+
+
+def slices(column, rows: int = 256):
+    """The values of an Arrow column as Python lists of at most ``rows``, one after the other.
+
+    A batch of texts stays in Arrow's memory; only a slice of it is Python strings at a time.
+    """
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .process import slices
 
 MAX_LABELLED = 20_000  # rows a model is fitted on, those of the smallest hashes of their ids
 ROUNDS = 4  # preference pairs for each document that takes part
@@ -76,11 +76,11 @@ class Model(NamedTuple):
     def raw(self, documents: DataFrame, text: str = "text") -> Column:
         weights = self.weights
 
-        @F.pandas_udf("double")
-        def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in texts:
-                rows = np.array([features(x) for x in part], float).reshape(len(part), -1)
-                yield pd.Series(rows @ weights if len(part) else [], dtype=float)
+                raw = [float(weights @ features(x)) for some in slices(part) for x in some]
+                yield pa.array(raw, pa.float64())
 
         return score(documents[text])
 
@@ -131,7 +131,7 @@ def fit(
 
     def measure(batches):
         for batch in batches:
-            rows = [features(text) for text in batch.column(1).to_pylist()]
+            rows = [features(text) for some in slices(batch.column(1)) for text in some]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))],
                 ["doc_id", "label", "x"],

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
+from .process import slices
 from .quality import labelled_texts, sample_of_labels
 
 MAX_LABELLED = 20_000  # rows a model is fitted on, those of the smallest hashes of their ids
@@ -203,11 +203,12 @@ class Model(NamedTuple):
         """0 … 1 for every text, empty and null ones included."""
         lexicon, weights, intercept = self.lexicon, self.weights, self.intercept
 
-        @F.pandas_udf("double")
-        def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for part in texts:
-                raw = [intercept + weights[lexicon.found(x)].sum() for x in part]
-                yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -35, 35))), dtype=float)
+                raw = [weights[lexicon.found(x)].sum() for some in slices(part) for x in some]
+                raw = np.clip(np.array(raw, float) + intercept, -35, 35)
+                yield pa.array(1 / (1 + np.exp(-raw)), pa.float64())
 
         return score(documents[text])
 
@@ -233,7 +234,7 @@ def fit(
 
     def vote(batches):
         for batch in batches:
-            hits = [lexicon.found(text) for text in batch.column(0).to_pylist()]
+            hits = [lexicon.found(text) for some in slices(batch.column(0)) for text in some]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hits, pa.list_(pa.int32())), pa.array(map(lexicon.votes, hits), pa.string())],
                 ["hits", "votes"],
