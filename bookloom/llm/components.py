@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min(_ranked("b", turn)).alias("first"))
         choices = first.select("a", F.least("first", _ranked("a", turn))["id"].alias("to"))
+        choices = stage(choices, "choices")  # so that a hub's rows can be split in the join
         then = choices.select(F.col("a").alias("to"), F.col("to").alias("then"))
         jumps = stage(choices.join(then, "to").select("a", F.col("then").alias("to")), "jumps")
         found = (
@@ -42,5 +43,5 @@ def components(links: DataFrame) -> DataFrame:
         links = stage(ends.where(F.col("a") != F.col("b")).distinct(), "links")
         turn += 1
     found = stage(found, "found")
-    smallest = found.groupBy("at").agg(F.min("id").alias("component"))
+    smallest = stage(found.groupBy("at").agg(F.min("id").alias("component")), "smallest")
     return found.join(smallest, "at").select("id", "component")

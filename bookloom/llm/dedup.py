@@ -191,25 +191,30 @@ def profiles(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def proposed(profiled: DataFrame) -> DataFrame:
-    """``a, b``: links that join each document to the first one of every band they share.
+    """``a, b, shared``: links that join each document to the first one of every band they share.
 
     They only say who has to be compared; as many links as documents in shared bands, however
-    many share one.
+    many share one. ``shared`` is the number of bands.
     """
     buckets = profiled.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = (
+    firsts = (
         buckets.groupBy("bucket")
         .agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last"))
         .where(F.col("b") != F.col("last"))
         .select("bucket", "b")
     )
-    links = buckets.join(shared, "bucket").select(F.col("doc_id").alias("a"), "b")
-    return links.where(F.col("a") != F.col("b")).distinct()
+    # Staged, so that a bucket of very many documents can be split in the join.
+    links = buckets.join(stage(firsts, "buckets"), "bucket").select(F.col("doc_id").alias("a"), "b")
+    return links.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def similar_links(ids: list, texts: list, of: Callable, least: float) -> list[tuple[int, int]]:
+def similar_links(
+    ids: list, texts: list, of: Callable, least: float, core: np.ndarray
+) -> list[tuple[int, int]]:
     """Links of at least ``least``, enough of them to connect whatever is connected by such links.
 
+    Those marked ``core`` are known to be connected already.
+
     The share of a set's weight that lies on another's keys is an upper bound of the index, and
     one matrix product gives it for all pairs. Pairs that reach it are worked out, the most
     promising first, unless links found before connect them already.
@@ -238,6 +243,8 @@ def similar_links(ids: list, texts: list, of: Callable, least: float) -> list[tu
     a, b = np.nonzero(np.triu(bound >= least - 1e-3, 1))
     best = np.argsort(-bound[a, b], kind="stable")
     root = list(range(len(each)))
+    for place in np.flatnonzero(core).tolist():
+        root[place] = int(core.argmax())
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -254,51 +261,124 @@ def similar_links(ids: list, texts: list, of: Callable, least: float) -> list[tu
     return links
 
 
-def verified(
-    documents: DataFrame, families: DataFrame, least: float, id_col: str, text_col: str
-) -> DataFrame:
-    """``a, b``: links of similarity ``least`` or more inside families (``doc_id, family``).
+def _star_links(near: DataFrame, candidates: DataFrame, large: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links of ``least`` or more between documents of large families and their pivots.
+
+    A document's pivot is the one of ``candidates`` that it shares most bands with, so each is
+    compared once. The documents of a pivot are dealt to blocks, which get the pivot's text.
+    """
+    own = candidates.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    stars = own.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("pivot"))
+    stars = stage(stars, "stars")
+    blocks = stars.groupBy("pivot").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
+    blocks = stage(blocks, "pivots")
+    block = F.pmod(F.xxhash64("a", F.lit(31)), F.col("blocks")).cast("int")
+    cells = stars.join(blocks, "pivot").select(F.col("a").alias("doc_id"), "pivot", block.alias("block"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    cells = cells.unionByName(blocks.select(F.col("pivot").alias("doc_id"), "pivot", each))
+
+    def verify(table: pa.Table) -> pa.Table:
+        of = word_hashes()
+        ids, pivot = table["doc_id"].to_pylist(), table["pivot"][0].as_py()
+        measured = lambda text: weighted_sets([shingles(of(text))])
+        centre = measured(table["text"][ids.index(pivot)].as_py())
+        found = [
+            i for i, text in zip(ids, table["text"])
+            if i != pivot and probability_jaccard(measured(text.as_py()), centre) >= least
+        ]
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([pivot] * len(found), pa.int64())})
+
+    texts = near.select("doc_id", "text").join(cells.hint("merge"), "doc_id")
+    return texts.groupBy("pivot", "block").applyInArrow(verify, "a bigint, b bigint")
+
+
+def _with_cores(families: DataFrame, stars: DataFrame) -> DataFrame:
+    """``doc_id, family, core``: whether a document is in its family's largest part by ``stars``."""
+    parts = components(stars).withColumnRenamed("id", "doc_id")
+    placed = stage(families.join(parts, "doc_id", "left"), "parts")
+    largest = (
+        placed.where(F.col("component").isNotNull())
+        .groupBy("family", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("family")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    )
+    core = F.coalesce(F.col("component") == F.col("largest"), F.lit(False))
+    named = placed.join(stage(largest, "largest"), "family", "left")
+    return stage(named.select("doc_id", "family", core.alias("core")), "cores")
+
+
+def _block_links(near: DataFrame, families: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links of ``least`` or more inside families (``doc_id, family, core``).
 
-    A family of more than ``FAMILY_ROWS`` documents is cut into blocks by a hash, and every two
-    blocks meet in one group; smaller families share groups. No group holds more than about
-    twice ``FAMILY_ROWS`` texts, and none reports more links than it has documents.
+    A family's core is connected already and is not compared with itself. The core and the rest
+    are each cut into blocks of about ``FAMILY_ROWS`` by a hash, and a block of the rest meets
+    every block of its family in one group; families of one block share groups. No group holds
+    more than about twice ``FAMILY_ROWS`` texts, and none reports more links than documents.
     """
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
+    many = lambda which: F.ceil(F.count_if(which) / FAMILY_ROWS).cast("int")
+    sizes = families.groupBy("family").agg(many(~F.col("core")).alias("rest"), many("core").alias("cores"))
+    sizes = stage(sizes.where(F.col("rest") > 0), "sizes")
     groups = max(1, -(-families.count() // FAMILY_ROWS))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    hashed = F.xxhash64("doc_id", F.lit(29))
+    own = F.when(F.col("core"), F.col("rest") + F.pmod(hashed, F.greatest("cores", F.lit(1))))
+    meets = F.when(F.col("core"), F.col("rest")).otherwise(F.col("rest") + F.col("cores"))
+    alone = F.col("rest") + F.col("cores") == 1
     cells = (
         families.join(sizes, "family")
-        .withColumn("own", own)
-        .withColumn("other", other)
+        .withColumn("own", own.otherwise(F.pmod(hashed, F.col("rest"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
         .select(
             "doc_id",
-            "family",
-            F.when(F.col("blocks") > 1, F.xxhash64("family"))
-            .otherwise(F.pmod(F.xxhash64("family"), F.lit(groups))).alias("group"),
-            F.when(F.col("blocks") > 1, F.least("own", "other") + 1).otherwise(0).alias("i"),
+            "core",
+            F.when(alone, F.pmod(F.xxhash64("family"), F.lit(groups)))
+            .otherwise(F.xxhash64("family")).alias("group"),
+            F.when(alone, 0).otherwise(F.least("own", "other") + 1).alias("i"),
             F.greatest("own", "other").alias("j"),
         )
     )
-    texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def verify(table: pa.Table) -> pa.Table:
         of = word_hashes()
-        family = table["family"].to_numpy()
+        family, core = table["family"].to_numpy(), table["core"].to_numpy()
         ids, texts = table["doc_id"].to_numpy(), table["text"]
         order = np.lexsort((ids, family))
         links = []
         for rows in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
-            links += similar_links(ids[rows].tolist(), texts.take(pa.array(rows)).to_pylist(), of, least)
+            own = texts.take(pa.array(rows)).to_pylist()
+            links += similar_links(ids[rows].tolist(), own, of, least, core[rows])
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # The families' ids grow with the documents, so they are not broadcast, however few they are.
     return (
-        texts.join(cells.hint("merge"), "doc_id").groupBy("group", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+        near.join(cells.hint("merge"), "doc_id").groupBy("group", "i", "j").applyInArrow(verify, "a bigint, b bigint")
     )
 
 
+def verified(
+    documents: DataFrame,
+    families: DataFrame,
+    candidates: DataFrame,
+    least: float,
+    id_col: str,
+    text_col: str,
+) -> DataFrame:
+    """``a, b``: links of similarity ``least`` or more inside families (``doc_id, family``).
+
+    In a family of more than ``FAMILY_ROWS`` documents each is first compared with one pivot. What
+    these links connect most of is the family's core; then only documents outside of it are
+    compared with the core and with each other. So a large group of near copies takes work in
+    proportion to its size, and all pairs that might connect anything more are still covered.
+    """
+    texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    # The families' ids grow with the documents, so they are not broadcast, however few they are.
+    near = stage(texts.join(families.hint("merge"), "doc_id"), "near")
+    sizes = families.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_ROWS)
+    large = stage(families.join(stage(sizes, "large"), "family", "left_semi"), "members")
+    stars = stage(_star_links(near, candidates, large, least), "stars")
+    return _block_links(near, _with_cores(families, stars), least).unionByName(stars)
+
+
 def near_duplicates(
     documents: DataFrame,
     similarity: float = SIMILARITY,
@@ -322,9 +402,10 @@ def near_duplicates(
     hot = firsts.where(F.col("first") != F.col("last")).select("content", "first")
     same = profiled.select("content", "doc_id").join(hot, "content")
     same = same.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    families = components(proposed(firsts.select(F.col("first").alias("doc_id"), "bands")))
+    candidates = stage(proposed(firsts.select(F.col("first").alias("doc_id"), "bands")), "proposed")
+    families = components(candidates)
     families = stage(families.withColumnsRenamed({"id": "doc_id", "component": "family"}), "families")
-    links = verified(documents, families, similarity, id_col, text_col)
+    links = verified(documents, families, candidates, similarity, id_col, text_col)
     classes = components(links.unionByName(same))
     ids = documents.select(F.col(id_col).cast("bigint").alias("doc_id"))
     ids = ids.where(F.col("doc_id").isNotNull()).distinct()
@@ -332,7 +413,7 @@ def near_duplicates(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id")
     )
     named = stage(named, "classes")
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("copies"))
+    sizes = stage(named.groupBy("class_id").agg(F.count("*").alias("copies")), "copies")
     return named.join(sizes, "class_id").select("doc_id", "class_id", "copies")
 
 
