@@ -2,7 +2,8 @@
 
 Documents marked good are preferred to documents marked bad. The scores are linear in features
 of the text and are learnt by logistic loss on the differences of a pair's features. A quantile
-of all scores is the threshold; a logistic curve through it maps scores to 0 … 1.
+of all scores is the threshold, put in a gap between scores; a logistic curve through it maps
+scores to 0 … 1.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -26,6 +27,8 @@ from .process import slices
 MAX_LABELLED = 20_000  # rows a model is fitted on, those of the smallest hashes of their ids
 ROUNDS = 4  # preference pairs for each document that takes part
 AT_THRESHOLD = 0.3  # the mapped score of the threshold
+ERRORS = 2.0  # standard errors that the share of bad documents, an estimate, is uncertain by
+BINS = 4096  # equal parts of a range of scores that are counted at once
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -91,13 +94,18 @@ class Model(NamedTuple):
         return 1 / (1 + F.exp(-at))
 
 
+def known_labels(labels: DataFrame, label: Column) -> DataFrame:
+    """``doc_id, label`` of the rows that have an id and a label."""
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.cast("int").alias("label"))
+    return known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+
+
 def sample_of_labels(labels: DataFrame, label: Column, most: int) -> DataFrame:
     """``doc_id, label`` of at most about ``most`` labelled ids, by a hash of the id.
 
     Null ids and null labels take no part; of an id's several labels the largest counts.
     """
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.cast("int").alias("label"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    known = known_labels(labels, label)
     share = min(1.0, most / max(known.count(), 1))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     return known.where(hashed < int(share * (1 << 30)) + 1).groupBy("doc_id").agg(
@@ -113,6 +121,48 @@ def labelled_texts(
     return texts.join(F.broadcast(labels), "doc_id")
 
 
+def _bins(scores: DataFrame, low: float, high: float) -> list[Row]:
+    """``n, low, high`` (rows, smallest and largest score) of the parts of ``low … high`` in use."""
+    part = F.floor((F.col("raw") - low) / (high - low) * BINS)
+    within = scores.where(F.col("raw").between(low, high))
+    found = within.groupBy(F.least(part, F.lit(BINS - 1)).alias("part")).agg(
+        F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")
+    )
+    return sorted(found.collect(), key=lambda row: row["part"])
+
+
+def _ranked(scores: DataFrame, rank: int, low: float, high: float) -> float:
+    """The score of a rank from 0, exact: counted in ever narrower parts of all scores' range."""
+    before = 0
+    while low < high:
+        for row in _bins(scores, low, high):
+            if before + row["n"] > rank:
+                break
+            before += row["n"]
+        low, high = row["low"], row["high"]
+    return low
+
+
+def threshold(scores: DataFrame, share: float, error: float = 0.0) -> float:
+    """The quantile of ``raw`` at ``share`` give or take ``error``, midway between two scores.
+
+    Within the error no rank is better than another, so the cut lies in the widest gap there;
+    where no gap is wider than a part in ``BINS`` of those scores, at ``share`` itself.
+    """
+    rows, low, high = scores.agg(F.count("*"), F.min("raw"), F.max("raw")).first()
+    rank = lambda x: _ranked(scores, min(max(x, 0), rows - 1), low, high)
+    start = rank(math.ceil(rows * (share - error)) - 1)
+    end = rank(math.floor(rows * (share + error)))
+    if start < end:
+        parts = _bins(scores, start, end)
+        gaps = [(b["low"] - a["high"], a["high"], b["low"]) for a, b in zip(parts, parts[1:])]
+        width, below, above = max(gaps, key=lambda gap: gap[0])
+        if width >= (end - start) / BINS:
+            return (below + above) / 2
+    at = math.ceil(rows * share)
+    return (rank(at - 1) + rank(at)) / 2
+
+
 def fit(
     documents: DataFrame,
     labels: DataFrame,
@@ -123,8 +173,9 @@ def fit(
 ) -> Model:
     """Learn scores from ``labels`` (``doc_id, label``, 1 is good), of which ``most`` are used.
 
-    ``bad_share`` is the quantile that becomes the threshold; by default it is the share of bad
-    documents among those labelled. Without both good and bad documents every text gets the same
+    ``bad_share`` is the quantile of the scores of all documents that becomes the threshold; by
+    default it is the share of bad documents among all that are labelled, give or take the
+    error of that share (see ``threshold``). Without both good and bad documents every text gets the same
     score, above the threshold.
     """
     sampled = sample_of_labels(labels, F.col("label"), most)
@@ -146,7 +197,6 @@ def fit(
     width = len(features(""))
     if not good or not bad:
         return Model(np.zeros(width), -1.0, 1.0)
-    share = bad / (good + bad) if bad_share is None else bad_share
     # Each document of the larger class meets about one of the other in each round.
     buckets = min(good, bad)
 
@@ -169,15 +219,19 @@ def fit(
         fitIntercept=False, maxIter=40, regParam=1e-4, featuresCol="features", labelCol="label"
     )
     weights = learner.fit(stage(examples, "pairs")).coefficients.toArray()
-    value = F.aggregate(
-        F.zip_with("x", F.array(*map(F.lit, weights.tolist())), lambda x, w: x * w),
-        F.lit(0.0),
-        lambda s, x: s + x,
+    model = Model(weights, 0.0, 1.0)
+    everything = documents.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), model.raw(documents, text_col).alias("raw")
     )
-    scored = rows.select(value.alias("s"), "label")
-    cut = scored.agg(F.percentile("s", share)).first()[0]
-    spread = scored.agg(F.stddev_pop("s")).first()[0]
-    return Model(weights, float(cut), 4.0 / max(float(spread), 1e-9))
+    scores = stage(everything, "scores")
+    share, error = bad_share, 0.0
+    if share is None:
+        everyone = known_labels(labels, F.col("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
+        judged = scores.select("doc_id").join(everyone, "doc_id")
+        share, n = judged.agg(F.avg(1 - F.col("label")), F.count("*")).first()
+        error = ERRORS * math.sqrt(share * (1 - share) / n)
+    spread = scores.agg(F.stddev_pop("raw")).first()[0]
+    return Model(weights, threshold(scores, share, error), 4.0 / max(float(spread), 1e-9))
 
 
 def score_documents(

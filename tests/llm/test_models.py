@@ -48,6 +48,25 @@ def test_quality_on_held_out_texts(spark):
     assert {r.doc_id for r in kept.collect()} >= {i for i in truth if scores[i] > 0.31}
 
 
+def test_the_quality_threshold_is_a_quantile_of_all_scores(spark):
+    rng = random.Random(11)
+    docs = table(spark, [(i, good_or_bad(rng, i % 4 > 0)) for i in range(200)]
+                 + [(1000 + i, good_or_bad(rng, i % 2)) for i in range(400)])
+    model = quality.fit(docs, labels(spark, [(i, int(i % 4 > 0)) for i in range(200)]), bad_share=0.4)
+    raw = sorted(r.raw for r in quality.score_documents(docs, model).collect())
+    assert model.cut == pytest.approx((raw[239] + raw[240]) / 2)
+
+
+def test_the_threshold_lies_in_the_widest_gap_within_the_error(spark):
+    rng = random.Random(12)
+    values = [rng.gauss(-5, 1) for _ in range(95)] + [rng.gauss(5, 1) for _ in range(905)] + [5.0] * 300
+    scores = spark.createDataFrame([(x,) for x in values], "raw double").repartition(3)
+    ordered = sorted(values)
+    assert quality.threshold(scores, 0.1, 0.05) == pytest.approx((ordered[94] + ordered[95]) / 2)
+    assert quality.threshold(scores, 0.3) == pytest.approx((ordered[389] + ordered[390]) / 2)
+    assert quality.threshold(spark.createDataFrame([(2.0,)] * 5, "raw double"), 0.5, 0.1) == 2.0
+
+
 def test_quality_without_two_kinds_keeps_everything(spark):
     docs = table(spark, [(1, "a"), (2, None)])
     for known in ([], [(1, 1)], [(1, 0)]):
