@@ -21,13 +21,15 @@ from ..sources.staging import stage
 from .process import once_per_process, slices
 
 TOPICS = 8
-TOPIC_SAMPLE = 2000  # documents that topics are fitted on, those of the smallest hashes
+TOPIC_ROUNDS = 20  # of k-means over all documents, at most
+STILL = 1e-4  # centres that move no further have come to rest
 WIDTH = 256  # of the hashed word counts that topics are made of
 TEMPER = 0.7  # default targets: shares of tokens to this power
 FRACTION = 0.5  # of all tokens that a sample should have
 TOLERANCE = 1e-3  # of a margin's share, relative
 MAX_ROUNDS = 20
 _KEPT = 150_000
+_UNIT = 1 << 24  # profiles are summed in whole numbers: the sums do not depend on the order
 MARGINS = ("source", "lang", "topic")
 
 
@@ -39,13 +41,23 @@ class _Places(dict):
         return value
 
 
-def word_profile(text: str | None) -> tuple[int, np.ndarray]:
-    """Number of words, and the hashed counts of the words, damped and scaled to length 1."""
+def word_counts(text: str | None) -> np.ndarray:
+    """The hashed counts of the words."""
     places = once_per_process("topic_places", _Places)
     words = (text or "").split()
     at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-    damped = np.sqrt(np.bincount(at, minlength=WIDTH))
-    return len(words), damped / max(np.sqrt(len(words)), 1.0)
+    return np.bincount(at, minlength=WIDTH)
+
+
+def profiles(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts, damped and scaled to length 1."""
+    return np.sqrt(counts / np.maximum(counts.sum(-1, keepdims=True), 1))
+
+
+def word_profile(text: str | None) -> tuple[int, np.ndarray]:
+    """Number of words, and the profile of the words."""
+    counts = word_counts(text)
+    return int(counts.sum()), profiles(counts)
 
 
 class Topics(NamedTuple):
@@ -75,32 +87,89 @@ class Topics(NamedTuple):
 def fit_topics(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS
 ) -> Topics:
-    """Topics are clusters of word profiles, fitted on at most ``TOPIC_SAMPLE`` documents."""
-    order = F.xxhash64(F.col(id_col), F.lit(41))
-    share = min(1.0, 2.0 * TOPIC_SAMPLE / max(documents.count(), 1))
-    chosen = documents.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    """Topics are clusters (k-means) of the word profiles of all documents.
+
+    The texts are read once; their counts are staged, and a round is one pass over those: each
+    task adds up the profiles nearest to each centre. The first centres are drawn as k-means++
+    does, with chances that depend on ids alone. Fewer distinct profiles give fewer topics.
+    """
 
-    def profile(batches):
+    def count(batches):
         for batch in batches:
-            rows = [word_profile(text)[1].astype("<f4").tobytes() for text in batch.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [word_counts(text).astype("<u4").tobytes() for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["place", "x"])
+
+    rows = documents.select(F.xxhash64(F.col(id_col), F.lit(41)).alias("place"), F.col(text_col).alias("text"))
+    counts = stage(rows.mapInArrow(count, "place bigint, x binary"), "profiles")
+
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = part.column(1).to_pylist()
+                held = np.frombuffer(b"".join(raw), "<u4").reshape(-1, WIDTH)
+                yield part.column(0).to_numpy(), raw, profiles(held.astype(float))
+
+    def draw(centres: np.ndarray) -> np.ndarray | None:
+        """The profile drawn with a chance in proportion to its squared distance from the centres."""
+
+        def first(batches):
+            best = None
+            for places, raw, points in parts(batches):
+                if len(centres):
+                    far = (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)
+                    far = far.min(1)
+                else:
+                    far = np.ones(len(points))
+                mixed = (places.astype(np.uint64) * np.uint64(2 * len(centres) + 0x9E3779B97F4A7C15)) >> np.uint64(11)
+                # The first of exponential waits whose rates are the distances.
+                wait = -np.log((mixed + 0.5) * 2.0**-53) / np.maximum(far, 1e-300)
+                wait[far < 1e-9] = np.inf
+                found = [(wait[i], raw[i]) for i in np.flatnonzero(wait == wait.min()) if wait[i] < np.inf]
+                best = min(found + [best] * (best is not None), default=None)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([float(best[0])]), pa.array([best[1]], pa.binary())], ["wait", "x"]
+                )
+
+        drawn = counts.mapInArrow(first, "wait double, x binary").agg(F.min(F.struct("wait", "x")).alias("best"))
+        best = drawn.first()["best"]
+        return None if best is None else profiles(np.frombuffer(best["x"], "<u4").astype(float))
+
+    centres = np.zeros((0, WIDTH))
+    while len(centres) < topics and (point := draw(centres)) is not None:
+        centres = np.vstack([centres, point])
+    if not len(centres):
+        return Topics(np.zeros((1, WIDTH)))
+
+    def means(centres: np.ndarray) -> np.ndarray:
+        def add(batches):
+            sums = np.zeros((len(centres), WIDTH + 1), np.int64)
+            half = (centres**2).sum(1) / 2
+            for _, _, points in parts(batches):
+                near = (points @ centres.T - half).argmax(1)
+                whole = np.rint(points * _UNIT).astype(np.int64)
+                for i in np.unique(near):
+                    sums[i, :WIDTH] += whole[near == i].sum(0)
+                    sums[i, WIDTH] += (near == i).sum()
+            centre, place = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.binary())], ["place", "x"]
+                [pa.array(centre), pa.array(place), pa.array(sums[centre, place])], ["centre", "place", "n"]
             )
 
-    rows = chosen.select(order.alias("place"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(profile, "place bigint, x binary").orderBy("place", "x").limit(TOPIC_SAMPLE)
-    points = np.frombuffer(b"".join(found.toArrow()["x"].to_pylist()), "<f4")
-    points = points.astype(float).reshape(-1, WIDTH)
-    points = np.unique(points, axis=0)
-    if not len(points):
-        return Topics(np.zeros((1, WIDTH)))
-    rng = np.random.default_rng(3)
-    centres = points[rng.choice(len(points), min(topics, len(points)), replace=False)]
-    for _ in range(20):
-        near = (points @ centres.T - (centres**2).sum(1) / 2).argmax(1)
-        for i in range(len(centres)):
-            if (near == i).any():
-                centres[i] = points[near == i].mean(0)
+        found = counts.mapInArrow(add, "centre bigint, place bigint, n bigint")
+        sums = np.zeros((len(centres), WIDTH + 1))
+        for row in found.groupBy("centre", "place").agg(F.sum("n").alias("n")).collect():
+            sums[row["centre"], row["place"]] = row["n"]
+        rows = sums[:, WIDTH:]
+        return np.where(rows > 0, sums[:, :WIDTH] / _UNIT / np.maximum(rows, 1), centres)
+
+    for _ in range(TOPIC_ROUNDS):
+        before, centres = centres, means(centres)
+        if ((centres - before) ** 2).sum(1).max() <= STILL**2:
+            break
     return Topics(centres)
 
 
