@@ -22,8 +22,7 @@ from ..sources.staging import stage
 from .process import once_per_process
 from .url_reputation import domain_of, host_and_path, suffix_of
 
-MAX_LANGUAGES = 64  # those with the most documents in the sample
-SAMPLE_ROWS = 6000  # documents that the text model is fitted on, those of the smallest hashes
+SAMPLE_ROWS = 6000  # documents of each language that the text model is fitted on, about
 WIDTH = 8192  # of the hashed words and endings
 TEMPER = 0.5  # words of a text are not independent; their evidence counts by this much
 STRENGTH = 5.0  # pages that a prior counts for, at every level
@@ -76,11 +75,18 @@ class TextModel(NamedTuple):
 def fit_text(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> TextModel:
-    """Learn word likelihoods from at most about ``SAMPLE_ROWS`` documents of known language."""
-    known = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, SAMPLE_ROWS / max(documents.count(), 1))
-    order = F.pmod(F.xxhash64(F.col(id_col), F.lit(53)), F.lit(1_000_000))
-    chosen = known.where(order < int(share * 1_000_000) + 1)
+    """Learn word likelihoods of every language that a document with a text has.
+
+    Of a language at most about ``SAMPLE_ROWS`` documents are read, by a hash of id and text.
+    """
+    known = documents.select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(53)), F.lit(1 << 30)).alias("order"),
+    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # A row for each language; languages of at most SAMPLE_ROWS documents are read whole.
+    share = F.lit(float(SAMPLE_ROWS)) / F.count("*")
+    shares = known.groupBy("lang").agg(F.ceil(share * (1 << 30)).alias("below"))
+    rows = known.join(F.broadcast(shares), "lang").where("order < below").select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -97,16 +103,15 @@ def fit_text(
                 ["lang", "place", "n"],
             )
 
-    rows = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sums = stage(
         rows.mapInArrow(count, "lang string, place bigint, n double")
         .groupBy("lang", "place").agg(F.sum("n").alias("n")), "words",
     )
-    most = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang")
-    languages = sorted(row["lang"] for row in most.limit(MAX_LANGUAGES).collect())
+    languages = sorted(row["lang"] for row in sums.select("lang").distinct().collect())
+    at = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(languages), WIDTH))
-    for row in sums.where(F.col("lang").isin(languages)).toLocalIterator():
-        counts[languages.index(row["lang"]), row["place"]] = row["n"]
+    for row in sums.toLocalIterator():
+        counts[at[row["lang"]], row["place"]] = row["n"]
     shares = counts / np.maximum(counts.sum(1, keepdims=True), 1e-12)
     return TextModel(languages, np.log(0.98 * shares + 0.02 / WIDTH))
 
@@ -183,8 +188,8 @@ def identify(
     kinds = [*languages, "other", "none"]
     counts = np.array([table.get(kind) or [0.0] * size for kind in kinds]) + 0.5
     declared = np.log(counts / counts.sum(0))
-    by_kind = F.create_map(
-        *[x for kind, row in zip(kinds, declared) for x in (F.lit(kind), F.array(*map(F.lit, row.tolist())))]
+    by_kind = pages.sparkSession.createDataFrame(
+        [(kind, row.tolist()) for kind, row in zip(kinds, declared)], "said string, said_log array<double>"
     )
 
     hosts = texts.groupBy("host").agg(_sums(size).alias("n"))
@@ -204,10 +209,11 @@ def identify(
     others = F.zip_with("n", "p", lambda n, p: F.greatest(n - p, F.lit(0.0)))
     fused = (
         salted.join(by_host, ["host", "salt"])
+        .join(F.broadcast(by_kind), "said")
         .withColumn("others", others)
         .withColumn("prior", _smoothed("others", "m"))
         .withColumn("logs", F.transform(
-            F.arrays_zip("logs", "prior", by_kind[F.col("said")].alias("said_log")),
+            F.arrays_zip("logs", "prior", "said_log"),
             lambda z: z["logs"] + F.log(z["prior"]) + z["said_log"]))
         .withColumn("q", _normalized("logs", size))
     )

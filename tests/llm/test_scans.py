@@ -208,6 +208,23 @@ def test_languages_of_pages(spark, text_model):
     assert by_id[1002].lang in WORDS and by_id[None].lang == "fr"
 
 
+SOUNDS = ["ba", "co", "du", "fe", "gi", "ho", "ju", "ka", "li"]
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 100)
+    rng = random.Random(8)
+    text = lambda k: " ".join(rng.choices([f"{a}{b}{k}" for a in SOUNDS for b in SOUNDS], k=20))
+    tags = [f"{a}{b}" for a in SOUNDS for b in SOUNDS][:80]
+    spoken = ["en"] * 3000 + [t for t in tags for _ in range(2)] + [None] * 3000
+    docs = [(i, text(t), t) for i, t in enumerate(spoken)]
+    model = language.fit_text(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert model.languages == sorted({"en", *tags})
+    pages = [(i, f"http://h{i}.x{t}/", f"<html lang={t}><p>{text(t)}</p>", "", "", 0, 0.0) for i, t in enumerate(tags)]
+    found = language.identify(spark.createDataFrame(pages, PAGES), model).collect()
+    assert sum(r.lang == tags[r.page_id] for r in found) >= 76
+
+
 def test_languages_of_nothing(spark, text_model):
     assert language.identify(spark.createDataFrame([], PAGES), text_model).collect() == []
     none = language.fit_text(spark.createDataFrame([], "doc_id bigint, text string, lang string"))
