@@ -28,6 +28,14 @@ _NAMES = {USER: "user", ASSISTANT: "assistant"}
 _TURN = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}  # what an edit may add
 _KEPT = {(START, "s"): SYSTEM} | {(state, _NAMES[to][0]): to for state, to in _TURN.items()}
 _LEGAL = {"su", "ua", "au"}
+# What it costs at most to end from the second state as any end from the first one does: inserting a
+# user or an assistant, or both, or deleting the one row whose role of system was to be kept.
+_BEHIND = {
+    (START, SYSTEM): 4, (START, USER): 5, (START, ASSISTANT): 3,
+    (SYSTEM, START): 0, (SYSTEM, USER): 2, (SYSTEM, ASSISTANT): 0,
+    (USER, START): 2, (USER, SYSTEM): 2, (USER, ASSISTANT): 2,
+    (ASSISTANT, START): 0, (ASSISTANT, SYSTEM): 4, (ASSISTANT, USER): 2,
+}
 
 _SPACE = " \t\n\x0b\f\r"
 RESULT = (
@@ -82,7 +90,9 @@ class Repair:
                 kept = _KEPT.get((state, role[:1]))
                 if kept is not None:
                     offer(kept, stays + COSTS[KEEP], rank, letters + KEEP, origin, f"{role}:{text}")
-        self._grow(found)
+        # A state that is dearer than another by more than what it takes to follow it is out.
+        behind = lambda state, way: any(way[0] > found[to][0] + _BEHIND[state, to] for to in found if to != state)
+        self._grow({state: way for state, way in found.items() if not behind(state, way)})
 
     def done(self) -> int:
         """The cost of the whole; what was undecided is decided and emitted."""
