@@ -89,11 +89,10 @@ def _runs(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Forest:
-    """Which of numbered things hang together; links that join nothing new are not kept."""
+    """Which of numbered things hang together."""
 
     def __init__(self, size: int):
         self.up = list(range(size))
-        self.links: list[tuple[int, int]] = []
 
     def top(self, i: int) -> int:
         up = self.up
@@ -103,15 +102,15 @@ class _Forest:
 
     def join(self, a: int, b: int) -> None:
         x, y = self.top(a), self.top(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+        self.up[max(x, y)] = min(x, y)
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links within ``radius`` bits that connect what all such pairs of ``left`` and ``right`` connect.
+    """Links that connect what all pairs of ``left`` and ``right`` within ``radius`` bits connect.
 
-    Both hold distinct unsigned fingerprints; ``right`` is None to compare ``left`` with itself.
+    Each links a fingerprint with the first of those that it hangs together with here, so that they
+    are stars and not chains. Both sides hold distinct unsigned fingerprints; ``right`` is None to
+    compare ``left`` with itself.
     """
     a, keys_a, starts_a = _runs(left)
     b, keys_b, starts_b = (a, keys_a, starts_a) if right is None else _runs(right)
@@ -136,7 +135,7 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS)
             for x, y in zip(i.tolist(), (j + shift).tolist()):
                 forest.join(x, y)
     value = np.concatenate([a, b]) if right is not None else a
-    return [(int(value[x]), int(value[y])) for x, y in forest.links]
+    return [(int(value[top]), int(value[x])) for x in range(len(value)) if (top := forest.top(x)) != x]
 
 
 def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -165,7 +164,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     work = (
         pairs.join(held, "tile")
         .join(held.select(F.col("tile").alias("other"), F.col("prints").alias("others")), "other")
-        .repartition(max(min(number, 64), math.ceil(number / _PAIRS)), "tile", "other")
+        .repartition(max(1, min(number, 64), math.ceil(number / _PAIRS)), "tile", "other")
         .select("prints", F.when(F.col("tile") != F.col("other"), F.col("others")).alias("others"))
     )
 

@@ -1,0 +1,142 @@
+"""Fingerprints and their components against brute force."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from bookloom.llm import queries, simhash
+
+KIND = "text string, doc_id bigint, fingerprint int, component_id string, first int"
+
+
+def plain(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in hashes) * 2 > len(hashes))
+
+
+def classes(values, radius=2):
+    """The component of each value, as the set of places that it reaches."""
+    near = {v: [w for w in set(values) if (v ^ w).bit_count() <= radius] for v in set(values)}
+    group = {}
+    for value in near:
+        if value not in group:
+            todo, seen = [value], {value}
+            while todo:
+                todo_next = [w for v in todo for w in near[v] if w not in seen]
+                seen.update(todo_next)
+                todo = todo_next
+            for w in seen:
+                group[w] = min(seen)
+    return [group[v] for v in values]
+
+
+def expected(rows):
+    prints = [plain(text) for _, text in rows]
+    group = classes(prints)
+    names = {}
+    for (doc_id, _), g in zip(rows, group):
+        if doc_id is not None:
+            names[g] = min(doc_id, names.get(g, doc_id))
+    return sorted(((i, f"{p:016x}", names.get(g)) for (i, _), p, g in zip(rows, prints, group)), key=repr)
+
+
+def query(spark, rows, tmp_path):
+    spark.createDataFrame([(t, i, 1, "x", 2) for i, t in rows], KIND).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    return sorted((tuple(r) for r in queries.queries()["op13_simhash_tiles"](spark, str(tmp_path)).collect()), key=repr)
+
+
+def test_fingerprints():
+    rng = random.Random(1)
+    texts = [None, "", " \t\n", "A", "a b", "a b c", "É b c D", "x " * 70_000, "日本 語 " * 9, "a\x0bb\x0cc\x1cd"]
+    texts += [" ".join(rng.choices(["Aa", "b", "cC", "dd", "e\n"], k=rng.randrange(1, 60))) for _ in range(200)]
+    assert [simhash.fingerprint(t) for t in texts] == [plain(t) for t in texts]
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = " ".join(str(i * i) for i in range(1000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "_HASHES", 17)
+    assert simhash.fingerprint(text) == whole == plain(text)
+
+
+def changed(rng, value, bits):
+    for bit in rng.sample(range(64), bits):
+        value ^= 1 << bit
+    return value
+
+
+def family(rng, count):
+    """Fingerprints at random, among them chains of near ones."""
+    values = {0, 2**64 - 1, 1, 3, 7}
+    while len(values) < count:
+        value = rng.getrandbits(64)
+        values.add(value)
+        for _ in range(rng.randrange(4)):
+            value = changed(rng, value, rng.randrange(1, 5))
+            values.add(value)
+    return list(values)[:count]
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+def test_tiles_against_all_pairs(monkeypatch, block):
+    monkeypatch.setattr(simhash, "_BLOCK", block)
+    rng = random.Random(2)
+    values = family(rng, 700)
+    left, right = np.array(values[:400], np.uint64), np.array(values[400:], np.uint64)
+    pairs = simhash.tile_links(left, None) + simhash.tile_links(right, None) + simhash.tile_links(left, right)
+    assert len(pairs) < 3 * len(values) and all(a != b for a, b in pairs)
+    linked = {v: {v} for v in values}
+    for a, b in pairs:
+        if linked[a] is not linked[b]:
+            linked[a] |= linked[b]
+            for v in linked[b]:
+                linked[v] = linked[a]
+    assert [min(linked[v]) for v in values] == classes(values)
+
+
+@pytest.mark.parametrize("tile", [50, 1 << 15])
+def test_links_of_a_table(spark, tile):
+    rng = random.Random(3)
+    values = family(rng, 900)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    table = spark.createDataFrame(signed, "fingerprint bigint").repartition(4)
+    found = [(a % 2**64, b % 2**64) for a, b in simhash.links(table, tile=tile).collect()]
+    linked = {v: {v} for v in values}
+    for a, b in found:
+        if linked[a] is not linked[b]:
+            linked[a] |= linked[b]
+            for v in linked[b]:
+                linked[v] = linked[a]
+    assert [min(linked[v]) for v in values] == classes(values)
+
+
+def test_the_query(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 200)))) for i in range(250)]
+    for i in range(0, 250, 5):
+        own = rows[i][1].split()
+        own[rng.randrange(len(own))] = "other"
+        rows.append((1000 + i, " ".join(own)))
+        rows.append((500 + i, rows[i][1].upper()))
+    rows += [(9000, None), (8000, ""), (8001, " \n"), (None, "no id"), (8002, "no  id"), (None, "alone here"), (3, "again"), (3, "again")]
+    assert query(spark, rows, tmp_path) == expected(rows)
+
+
+def test_no_rows(spark, tmp_path):
+    assert query(spark, [], tmp_path) == []
+
+
+def test_far_tiles_are_not_compared(spark, monkeypatch):
+    values = [(1 << n) - 1 for n in range(60)]
+    table = spark.createDataFrame([(v,) for v in values], "fingerprint bigint")
+    plan = simhash.links(table, tile=4)
+    assert plan.count() >= 55  # a chain of one bit more each
