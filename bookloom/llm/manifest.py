@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.running import numbered, sums_before
@@ -53,48 +53,39 @@ def placed(leaves: DataFrame) -> DataFrame:
     Leaves ascend by id, those without one first. Rows that repeat an id of their group are
     ordered by leaf, then ``carried``; equal ones are counted, not listed, until they have places.
     """
-    word = F.coalesce(F.call_function("shiftright", "id", F.lit(6)), F.lit(_NO_ID))
-    worded = leaves.withColumn("word", word)
-    low = F.col("id").bitwiseAND(F.lit(63)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), low)
-    below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), low))
+    worded = leaves.selectExpr("*", f"coalesce(shiftright(id, 6), {_NO_ID}) as word", "cast(id & 63 as int) as low")
     words = stage(
         worded.groupBy("key", "word").agg(
-            F.bit_or(F.coalesce(bit, F.lit(0).cast("bigint"))).alias("bits"), F.count("*").alias("rows")
+            F.expr("bit_or(coalesce(shiftleft(1L, low), 0L)) as bits"), F.count("*").alias("rows")
         ),
         "words",
     )
     sizes = words.groupBy("key").agg(F.sum("rows").alias("n"))
     directory = stage(sums_before(words, ["key"], "word", "rows").join(sizes, "key"), "directory")
-    single = F.col("rows") == F.bit_count("bits")
-    rank = F.col("before") + F.bit_count(F.col("bits").bitwiseAND(below))
-    plain = worded.join(directory.where(single), ["key", "word"]).select(
-        "id", "key", "leaf", "carried", rank.cast("bigint").alias("place"), "n"
+    plain = worded.join(directory.where("rows = bit_count(bits)"), ["key", "word"]).selectExpr(
+        "id", "key", "leaf", "carried", "before + bit_count(bits & ~shiftleft(-1L, low)) as place", "n"
     )
     # Words with repeated ids, or without an id: their leaves are ranked by id, then by leaf.
-    repeats = directory.where(~single)
-    same = ["key", "word", "id", "leaf", "carried"]
+    repeats = directory.where("rows != bit_count(bits)")
     kinds = stage(
         worded.join(repeats.select("key", "word"), ["key", "word"], "left_semi")
-        .groupBy(*same).agg(F.count("*").alias("times")),
+        .groupBy("key", "word", "low", "id", "leaf", "carried").agg(F.count("*").alias("times")),
         "repeats",
     )
-    start = F.conv(F.substring("leaf", 1, 5), 16, 10).cast("int")  # a hot id's leaves in 2**20 ranges
-    ranged = kinds.withColumn("low", F.coalesce(F.col("id").bitwiseAND(F.lit(63)), F.lit(0))).withColumn(
-        "at", F.call_function("shiftleft", F.col("low"), F.lit(20)) + start
-    )
-    ranges = stage(ranged.groupBy("key", "word", "at").agg(F.sum("times").alias("many")), "ranges")
-    ranges = sums_before(ranges, ["key", "word"], "at", "many", (13,)).withColumnRenamed("before", "earlier")
-    order = F.row_number().over(Window.partitionBy("key", "word", "at").orderBy("leaf", "carried"))
-    own = sums_before(ranged.withColumn("turn", order), ["key", "word", "at"], "turn", "times", ())
-    first = F.col("before") + F.col("earlier") + F.col("base")
-    based = repeats.select("key", "word", F.col("before").alias("base"), "n")
+    # A hot id's leaves fall into 2**20 ranges.
+    at = "shiftleft(cast(coalesce(low, 0) as bigint), 20) + cast(conv(substring(leaf, 1, 5), 16, 10) as bigint) as at"
+    ranged = kinds.selectExpr("*", at).selectExpr("*", "row_number() over (partition by key, word, at order by leaf, carried) as turn")
+    ranges = ranged.groupBy("key", "word", "at").agg(F.sum("times").alias("many"))
+    ranges = sums_before(stage(ranges, "ranges"), ["key", "word"], "at", "many", (13,)).withColumnRenamed("before", "earlier")
+    own = sums_before(ranged, ["key", "word", "at"], "turn", "times", ())
+    based = repeats.selectExpr("key", "word", "before as base", "n")
     listed = (
         own.join(ranges.drop("many"), ["key", "word", "at"]).join(based, ["key", "word"])
-        .select("id", "key", "leaf", "carried", first.alias("first"), "times", "n")
-        .withColumn("some", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1, F.lit(_COPIES).cast("bigint"))))
-        .withColumn("copy", F.explode(F.sequence("some", F.least(F.col("some") + _COPIES, F.col("times")) - 1)))
-        .select("id", "key", "leaf", "carried", (F.col("first") + F.col("copy")).alias("place"), "n")
+        .selectExpr("id", "key", "leaf", "carried", "before + earlier + base as first", "times", "n",
+                    f"explode(sequence(0L, times - 1, {_COPIES}L)) as some")
+        .selectExpr("id", "key", "leaf", "carried", "n", "first",
+                    f"explode(sequence(some, least(some + {_COPIES}, times) - 1)) as copy")
+        .selectExpr("id", "key", "leaf", "carried", "first + copy as place", "n")
     )
     return plain.unionByName(listed)
 
@@ -104,15 +95,13 @@ def _parents(nodes: DataFrame, held: Sequence[str]) -> DataFrame:
 
     ``n`` counts the nodes of a group on their own level. A node alone is not hashed again.
     """
-    slot = F.pmod("place", F.lit(FAN)).cast("int").alias("slot")
-    parent = F.call_function("shiftright", F.col("place"), F.lit(3))
     grouped = (
-        nodes.groupBy("key", parent.alias("place"), "n")
-        .agg(F.sort_array(F.collect_list(F.struct(slot, "hash", *held))).alias("slots"))
-    )
-    joined = F.array_join(F.transform("slots", lambda s: s["hash"]), "")
-    hashed = F.when(F.col("n") == 1, F.col("slots")[0]["hash"]).otherwise(F.sha2(joined.cast("binary"), 256))
-    return grouped.select("key", "place", "n", "slots", hashed.alias("hash"))
+        nodes.selectExpr("key", f"place div {FAN} as place", "n", f"cast(place % {FAN} as int) as slot", "hash", *held)
+        .groupBy("key", "place", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("slot", "hash", *held))).alias("slots"))
+    )
+    hashed = "if(n = 1, slots[0].hash, sha2(cast(array_join(slots.hash, '') as binary), 256)) as hash"
+    return grouped.selectExpr("key", "place", "n", "slots", hashed)
 
 
 def _levels(nodes: DataFrame, held: Sequence[str], most: int) -> list[DataFrame]:
@@ -120,9 +109,8 @@ def _levels(nodes: DataFrame, held: Sequence[str], most: int) -> list[DataFrame]
     levels = []
     while not levels or most > 1:
         if levels:
-            level = levels[-1].where(F.col("n") > FAN)
-            n = F.call_function("shiftright", F.col("n") + (FAN - 1), F.lit(3))
-            nodes, held = level.select("key", "place", n.alias("n"), "hash"), ()
+            level = levels[-1].where(f"n > {FAN}")
+            nodes, held = level.selectExpr("key", "place", f"(n + {FAN - 1}) div {FAN} as n", "hash"), ()
         most = -(-most // FAN)
         levels.append(stage(_parents(nodes, held), "level"))
     return levels
@@ -134,26 +122,19 @@ def _descended(levels: list[DataFrame], tops: DataFrame, held: Sequence[str]) ->
     ``tops`` has a row for each group: ``key``, the path of its top and more columns. A level
     hands to each child the path of its parent, preceded by the hashes before and after it.
     """
-    carried = [name for name in tops.columns if name != "key"]
+    carried = [name for name in tops.columns if name not in ("key", "path")]
+    others = "array_join(transform(filter(slots, s -> s.slot {} child.slot), s -> s.hash), '')"
+    step = f"struct({others.format('<')} as before, {others.format('>')} as after)"
     arriving = None
     for level in reversed(levels):
         # Groups whose top is on this level start here.
-        starting = level.where(F.col("n") <= FAN).join(tops, "key")
-        rows = starting
+        rows = level.where(f"n <= {FAN}").join(tops, "key")
         if arriving is not None:
-            rows = rows.unionByName(level.where(F.col("n") > FAN).join(arriving, ["key", "place"]))
-        others = lambda which: F.array_join(
-            F.transform(F.filter("slots", which), lambda s: s["hash"]), ""
+            rows = rows.unionByName(level.where(f"n > {FAN}").join(arriving, ["key", "place"]))
+        extra = [f"child.{name}" for name in ("hash", *held)] if level is levels[0] else []
+        arriving = rows.withColumn("child", F.explode("slots")).selectExpr(
+            "key", f"place * {FAN} + child.slot as place", f"if(n = 1, path, concat(array({step}), path)) as path", *carried, *extra
         )
-        each = rows.withColumn("child", F.explode("slots"))
-        before = others(lambda s: s["slot"] < F.col("child.slot"))
-        after = others(lambda s: s["slot"] > F.col("child.slot"))
-        step = F.array(F.struct(before.alias("before"), after.alias("after")))
-        path = F.when(F.col("n") == 1, F.col("path")).otherwise(F.concat(step, F.col("path")))
-        place = F.call_function("shiftleft", F.col("place"), F.lit(3)) + F.col("child.slot")
-        kept = [F.col(name) for name in carried if name != "path"]
-        extra = [F.col(f"child.{name}").alias(name) for name in ("hash", *held)] if level is levels[0] else []
-        arriving = each.select("key", place.alias("place"), path.alias("path"), *kept, *extra)
     return arriving
 
 
@@ -180,7 +161,7 @@ def build(leaves: DataFrame) -> Manifest:
     levels = _levels(nodes, held, most)
     tops = None
     for level in levels:
-        own = level.where(F.col("n") <= FAN).select("key", "hash")
+        own = level.where(f"n <= {FAN}").select("key", "hash")
         tops = own if tops is None else tops.unionByName(own)
     groups = numbered(tops, ["key"], "place")
     count = groups.count()
