@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative model of them, a linear classifier.
 
 Voters are lexicons and patterns. The lexicons are mined from labelled documents: whole words and
-beginnings of words that stand in toxic documents only, or nearly. The label model explains the
+beginnings of words that stand in toxic documents only, or nearly; the patterns are of the text
+itself, such as letters spaced out or masked. The label model explains the
 votes by a hidden class; it estimates how often each voter fires in either class, and how voters
 go together beyond the class, so that voters that say the same thing share one voice. Its
 posteriors, not the labels, train a linear classifier on the lexicon's words, which scores texts.
@@ -32,11 +33,23 @@ LEXICONS = 8  # voters that the entries of a kind are dealt to
 BEGINNINGS = (4, 5)  # letters of the beginnings of longer words
 MIN_DOCUMENTS = 3  # toxic ones that an entry stands in
 CANDIDATES = 4000  # entries that are looked at, the best by ratio and number of documents
-COVER = 3  # entries that a toxic document is explained by; more of them say nothing new
+COVER = 3  # words that a toxic document is explained by; more of them say nothing new
 MIN_RATIO = 20.0  # of the shares of toxic and of other documents with the entry
-ROUNDS = 30  # of the label model
+ROUNDS = 200  # of the label model, at most
+AT_REST = 1e-4  # a posterior that moves no further has come to rest
+NOISE = 0.1  # correlations below this count as none
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+# Patterns of a text itself: letters spaced out, signs in place of letters, shouting, insistence.
+PATTERNS = tuple(
+    re.compile(pattern)
+    for pattern in (
+        r"(?<!\w)(?:[^\W\d_][ .*-]){3,}[^\W\d_](?!\w)",
+        r"[^\W\d_][*#@$%]+[^\W\d_]",
+        r"(?<!\w)[A-Z]{4,}\W+[A-Z]{4,}(?!\w)",
+        r"[!?]{2,}",
+    )
+)
 
 
 def entries_of(text: str | None) -> set[str]:
@@ -62,18 +75,18 @@ class Lexicon(NamedTuple):
             hits += [places[s] for s in starts if s in places]
         return sorted(hits)
 
-    def votes(self, hits: list[int]) -> str:
-        """One sign for each voter: the lexicons, then patterns over what they found."""
-        lexicons = np.zeros(self.count, int)
-        np.add.at(lexicons, self.voters[hits], 1)
-        patterns = [len(hits) >= 2, len(hits) >= 4, (lexicons > 0).sum() >= 2]
-        return "".join("1" if fires else "0" for fires in [*(lexicons > 0), *patterns])
+    def votes(self, hits: list[int], text: str | None) -> str:
+        """One sign for each voter: the lexicons, several entries at once, then the patterns of the text."""
+        lexicons = np.zeros(self.count, bool)
+        lexicons[self.voters[hits]] = True
+        patterns = [pattern.search(text or "") is not None for pattern in PATTERNS]
+        return "".join("1" if fires else "0" for fires in [*lexicons, len(hits) >= 2, len(hits) >= 4, *patterns])
 
 
 def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
-    """The entries of ``known`` (``doc_id, text, label``) that mark toxic documents best.
+    """The entries of ``known`` (distinct ``text, label``) that mark toxic documents best.
 
-    Copies of a text count once. An entry has to explain toxic documents that the better entries
+    An entry has to explain toxic documents that the better entries
     do not explain yet: the other words of a toxic text that has many near copies stand in toxic
     documents only as well, but always beside the words that make them toxic.
     """
@@ -88,11 +101,8 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
                 tally = Counter()
         yield _tallied(tally)
 
-    once = known.groupBy(F.xxhash64("text").alias("_same")).agg(
-        F.min("text").alias("text"), F.max("label").alias("label")
-    )
     counts = (
-        once.select("text", "label")
+        known.select("text", "label")
         .mapInArrow(count, "entry string, label int, n bigint")
         .groupBy("entry")
         .agg(
@@ -115,8 +125,8 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
 
     # At most as many rows as there are labelled documents in the sample.
-    toxic_texts = once.where("label = 1").select("text").mapInArrow(look_up, "hits array<int>")
-    entries = [entries[i] for i in explaining(toxic_texts.toArrow()["hits"].to_pylist(), len(entries))]
+    toxic_texts = known.where("label = 1").select("text").mapInArrow(look_up, "hits array<int>")
+    entries = [entries[i] for i in explaining(toxic_texts.toArrow()["hits"].to_pylist(), entries)]
     # Dealt in turn by rank, so that every lexicon has strong entries; kinds stay apart.
     kinds, voters = Counter(), []
     for entry in entries:
@@ -126,16 +136,22 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     return Lexicon({e: i for i, e in enumerate(entries)}, np.array(voters, int))
 
 
-def explaining(hits: list[list[int]], count: int) -> list[int]:
-    """Of entries in order of merit, those that stand in documents not yet explained ``COVER`` times."""
-    documents: list[list[int]] = [[] for _ in range(count)]
+def explaining(hits: list[list[int]], entries: list[str]) -> list[int]:
+    """Of ``entries`` in order of merit, those that stand in documents not yet explained ``COVER`` times.
+
+    A word, its beginnings and other words that begin alike explain a document once together.
+    """
+    documents: list[list[int]] = [[] for _ in entries]
     for number, own in enumerate(hits):
         for entry in own:
             documents[entry].append(number)
-    explained, chosen = np.zeros(len(hits), int), []
+    explained: list[set[str]] = [set() for _ in hits]
+    chosen = []
     for entry, own in enumerate(documents):
-        if len(chosen) < LEXICON and (explained[own] < COVER).sum() >= MIN_DOCUMENTS:
-            explained[own] += 1
+        kind = entries[entry][: min(BEGINNINGS)]
+        if len(chosen) < LEXICON and sum(len(explained[d] - {kind}) < COVER for d in own) >= MIN_DOCUMENTS:
+            for d in own:
+                explained[d].add(kind)
             chosen.append(entry)
     return chosen
 
@@ -167,15 +183,21 @@ class LabelModel(NamedTuple):
 def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float) -> LabelModel:
     """Estimate the voters by expectation and maximisation over patterns of votes and their counts.
 
-    The class starts from the majority of voters. A voter's voice is one over the sum of its
-    correlations (within the classes, in absolute value) with all voters, itself included.
+    The class starts from the majority of voters, and rounds end when no posterior moves. A voter's
+    voice is one over the sum of its correlations (within the classes, in absolute value, from
+    ``NOISE`` on) with all voters, itself included. ``prior`` is what the labels say; the estimate
+    stays between it and what the votes say.
     """
     total, number = counts.sum(), votes.shape[1]
-    prior = float(np.clip(prior, 1e-3, 0.5))
+    expected = prior = float(np.clip(prior, 1e-3, 0.5))
     fires = np.vstack([np.full(number, 0.002), np.full(number, 0.3)])
     correlations, voices = np.eye(number), np.ones(number)
+    before = None
     for _ in range(ROUNDS):
         q = LabelModel(prior, fires, correlations, voices).posterior(votes)
+        if before is not None and np.abs(q - before).max(initial=0.0) < AT_REST:
+            break
+        before = q
         residue = np.zeros((number, number))
         for kind, weight in enumerate(((1 - q) * counts, q * counts)):
             whole = weight.sum()
@@ -183,13 +205,15 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float) -> LabelModel
             fires[kind] = (weight @ votes + (0.02 if kind == 0 else 0.5)) / (whole + 2.0)
             centred = votes - fires[kind]
             residue += (centred * weight[:, None]).T @ centred
-        fires[1] = np.maximum(fires[1], fires[0] * 1.5)  # a voter never speaks for the other class
+        fires[1] = np.maximum(fires[1], fires[0])  # a voter never speaks for the other class
         fires = np.clip(fires, 1e-5, 1 - 1e-5)
-        prior = float(np.clip((q * counts).sum() / total, 1e-3, 0.5))
+        # As many imaginary documents hold the prior where the labels have it.
+        prior = float(np.clip(((q * counts).sum() / total + expected) / 2, 1e-3, 0.5))
         scale = np.sqrt(np.maximum(np.diag(residue), 1e-12))
         correlations = residue / np.outer(scale, scale)
         np.fill_diagonal(correlations, 1.0)
-        voices = 1 / np.abs(correlations).sum(1)
+        strong = np.abs(correlations)
+        voices = 1 / np.where(strong < NOISE, 0.0, strong).sum(1)
     return LabelModel(prior, fires, correlations, voices)
 
 
@@ -225,7 +249,10 @@ def fit(
     Without toxic documents, or without entries that mark them, every text scores near 0.
     """
     sampled = sample_of_labels(labels, F.col("label"), most)
-    known = stage(labelled_texts(documents, sampled, most, id_col, text_col), "toxicity")
+    texts = labelled_texts(documents, sampled, most, id_col, text_col)
+    # Copies of a text count once, in the lexicon, the prior and the model of votes.
+    once = texts.groupBy(F.xxhash64("text").alias("_same")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    known = stage(once.select("text", "label"), "toxicity")
     counts = dict(known.groupBy("label").count().collect())
     toxic, others = counts.get(1, 0), counts.get(0, 0)
     lexicon = mine(known, toxic, others) if toxic else Lexicon({}, np.array([], int))
@@ -234,11 +261,12 @@ def fit(
 
     def vote(batches):
         for batch in batches:
-            hits = [lexicon.found(text) for some in slices(batch.column(0)) for text in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hits, pa.list_(pa.int32())), pa.array(map(lexicon.votes, hits), pa.string())],
-                ["hits", "votes"],
-            )
+            for texts in slices(batch.column(0)):
+                hits = [lexicon.found(text) for text in texts]
+                votes = [lexicon.votes(own, text) for own, text in zip(hits, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hits, pa.list_(pa.int32())), pa.array(votes, pa.string())], ["hits", "votes"]
+                )
 
     voted = stage(known.select("text").mapInArrow(vote, "hits array<int>, votes string"), "votes")
     # At most one pattern for each of the ``most`` documents.
