@@ -140,6 +140,26 @@ def _route(queries: DataFrame, index: Index, k: int) -> DataFrame:
     return queries.mapInArrow(route, f"query_id bigint, vector {kind}, least double, list int")
 
 
+def _sampled(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` best of the sample for each query.
+
+    These are rows of the table that have been scored for the threshold; the lists that they are in
+    need not be probed, and a scan that looks for better ones only need not find them again.
+    """
+    ids, sample = index.sample_ids, index.sample
+
+    def best(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                vectors, own = matrix(part), part["query_id"].to_numpy()
+                rows, cols = best_of_rows(vectors @ sample.T, own, ids, np.full(len(own), -np.inf), k)
+                scores = np.einsum("ij,ij->i", vectors[rows], sample[cols])
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(ids[cols]), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    return queries.mapInArrow(best, _FOUND)
+
+
 def dimension_scan(
     asked: np.ndarray, held: np.ndarray, rotation: np.ndarray, largest: float, least: np.ndarray
 ) -> np.ndarray:
@@ -182,17 +202,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     ``vectors`` is ``vec_id, vector`` (see ``cells.usable``, without zero vectors), ``is_query``
     selects the queries by ``vec_id``; candidates are all rows but the query's own. Scores are
-    exact, in double precision; ties go to the smaller id. If a table has no more than
-    ``SAMPLE_ROWS`` rows, all lists are probed and all candidates are returned that are among
-    the ``k`` best. An empty table gives no rows.
+    exact, in double precision; ties go to the smaller id. Every query gets ``k`` rows, or all
+    candidates if there are fewer: the sample, which holds more than that, is scored whole. An
+    empty table gives no rows.
     """
     index = build(vectors, k)
     if index is None:
         return vectors.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, vec_id bigint, score double"
         )
-    if len(index.sample_ids) < SAMPLE_ROWS:
-        index = index._replace(probes=len(index.centres))
     queries = index.rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vector")
     parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     asked = (
@@ -220,6 +238,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         return pa.table({"query_id": own[rows], "vec_id": ids[cols], "score": scores})
 
     found = meet(asked.drop("parts"), index.rows, ["list", "part"], scan, _FOUND)
+    # The same pair has the same score from either side.
+    both = found.unionByName(_sampled(queries, index, k))
+    found = both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(by_score))
