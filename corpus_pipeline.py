@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm import dedup, mixing, packing, quality, queries, toxicity
-from bookloom.sources.staging import stage
+from bookloom.sources import new_path, staging_scope
 
 
 def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``. What a stage has staged for itself goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with staging_scope(spark):
+            kept = function(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
