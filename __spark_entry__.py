@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from bookloom.functions import fixed  # noqa: E402
-from bookloom.operators import influence, metadata, similarity, stats, wordcount  # noqa: E402
+from bookloom.operators import influence, metadata, similarity, stats, term_index, wordcount  # noqa: E402
 from bookloom.operators import terms as term_ops  # noqa: E402
-from bookloom.plans import analyses  # noqa: E402
+from bookloom.plans import analyses, report  # noqa: E402
 from bookloom.plans.analyses import rounded  # noqa: E402
+from bookloom.sources import new_path, read_books, read_counts, read_lines, write_books, write_counts  # noqa: E402
 from document_books import books_from_documents, duckdb_statement  # noqa: E402
 
 TARGET = "10.txt"
+FIRST_YEAR, LAST_YEAR = 1920, 1939
+TARGETS = ("10.txt", "11.txt", "150.txt")
 MIN_COSINE = 0.5
 
 
@@ -89,6 +93,38 @@ def _similar_books(books: DataFrame) -> DataFrame:
     return similarity.top_similar(rounded(analyses.cosines(books, TARGET), "cosine"))
 
 
+def _similar_books_indexed(books: DataFrame) -> DataFrame:
+    """The top of several targets from one stored index."""
+    index = analyses.book_index(books)
+    tops = []
+    for target in TARGETS:
+        top = similarity.top_similar(rounded(term_index.search(index, target).cosines, "cosine"))
+        tops.append(top.select(F.lit(target).alias("target"), "rank", "file_name", "cosine"))
+    return reduce(DataFrame.unionByName, tops)
+
+
+def _books_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "books")
+    write_books(_books(spark, folder), path)
+    found = read_books(spark, f"{path}/*.txt")
+    return found.select("file_name", F.length("text").cast("bigint").alias("characters"), F.md5("text").alias("digest"))
+
+
+def _lines_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts as line files in two folders, read together: how often each line occurs."""
+    paths = [new_path(spark, "lines") for _ in range(2)]
+    texts = _documents(spark, folder).where(F.col("text").isNotNull())
+    for half, path in enumerate(paths):
+        texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).select("text").write.text(path)
+    return read_lines(spark, paths).groupBy("value").agg(F.count("*").alias("occurrences"))
+
+
+def _wordcount_written(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "counts")
+    write_counts(wordcount.word_count(_documents(spark, folder), "clean", "text"), path)
+    return read_counts(spark, path)
+
+
 def _training_data() -> tuple[dict, dict]:
     """Queries and SQL of the ``llm`` subpackage and of the pipeline, unless they were removed."""
     try:
@@ -148,9 +184,17 @@ def _book_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf": _on_weights(_tfidf),
         "tfidf_normalized": _on_weights(_tfidf_normalized),
         "similar_books_top5": _on_books(_similar_books),
+        "similar_books_indexed": _on_books(_similar_books_indexed),
         "book_similarity_pairs": _on_books(lambda books: analyses.book_pairs(books, MIN_COSINE)),
+        "metadata_report": _on_books(lambda books: rounded(report.report(report.metadata_table(books)), "value")),
+        "books_of_years": _on_books(
+            lambda books: report.books_of_years(report.metadata_table(books), FIRST_YEAR, LAST_YEAR)
+        ),
         "wordcount": _on_lines("clean"),
         "wordcount_whitespace": _on_lines("whitespace"),
+        "books_from_files": _books_from_files,
+        "lines_from_files": _lines_from_files,
+        "wordcount_written": _wordcount_written,
     }
 
 
@@ -329,6 +373,21 @@ def _book_sql() -> dict[str, str]:
                         and exists (select 1 from books where file_name = '{TARGET}')) s
                 order by cosine desc, file_name limit {fixed.TOP_SIMILAR}""",
         ),
+        "similar_books_indexed": _with(
+            _UNITS,
+            f"""select target, rank, file_name, cosine
+                from (select target, file_name, cosine,
+                             row_number() over (partition by target order by cosine desc, file_name) as rank
+                      from (select g.file_name as target, b.file_name as file_name, round(coalesce(dot, 0), 6) as cosine
+                            from (select file_name from books where file_name in {_listed(TARGETS)}) g
+                            join books b on b.file_name <> g.file_name
+                            left join (
+                              select t.file_name as target, u.file_name as file_name, sum(u.weight * t.weight) as dot
+                              from units u join units t on u.term = t.term and t.file_name in {_listed(TARGETS)}
+                              group by t.file_name, u.file_name) d
+                            on d.target = g.file_name and d.file_name = b.file_name) s) r
+                where rank <= {fixed.TOP_SIMILAR}""",
+        ),
         "book_similarity_pairs": _with(
             _UNITS,
             f"""select book_a, book_b, cosine
@@ -338,6 +397,36 @@ def _book_sql() -> dict[str, str]:
                       group by a.file_name, b.file_name) p
                 where cosine >= {MIN_COSINE}""",
         ),
+        "metadata_report": _with(
+            _MD,
+            """select 'total_books' as measure, '' as name, count(*)::double as value from md
+               union all select 'books_per_year', release_year::varchar, count(*) from md
+                 where release_year is not null group by release_year
+               union all select 'language_counts', language, count(*) from md
+                 where language is not null and trim(language) <> '' group by language
+               union all select 'missing_years', '', count(*) filter (where release_year is null) from md
+               union all select 'average_title_length', '', round(avg(length(title)), 6) from md
+                 where title is not null and trim(title) <> ''
+            """
+            + "".join(
+                f"""union all select 'missing_{name}s', '', count(*) filter (where {name} is null or trim({name}) = '')
+                    from md """
+                for name in report.FIELDS
+            ),
+        ),
+        "books_of_years": _with(
+            _MD,
+            f"""select file_name, title, release_date, language, encoding, release_year from md
+                where release_year between {FIRST_YEAR} and {LAST_YEAR}""",
+        ),
         "wordcount": _words("regexp_replace(text, '[^a-zA-Z0-9'']', ' ', 'g')"),
         "wordcount_whitespace": _words("text"),
+        "books_from_files": _with(
+            "books", "select file_name, length(text) as characters, md5(text) as digest from books"
+        ),
+        "lines_from_files": """
+            select value, count(*) as occurrences
+            from (select unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) as value from documents) t
+            group by value""",
+        "wordcount_written": _words("regexp_replace(text, '[^a-zA-Z0-9'']', ' ', 'g')"),
     }

@@ -46,10 +46,14 @@ def body_text(text: Column, markers: tuple[str, str]) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), start, ""), end, "")
 
 
+def body_letters(text: Column, markers: tuple[str, str]) -> Column:
+    """The a-z runs of the body, with a space between them."""
+    return F.regexp_replace(body_text(text, markers), "[^a-z]+", " ")
+
+
 def body_tokens(text: Column, markers: tuple[str, str]) -> Column:
     """Array of a-z runs of the body; a body without letters gives one empty token."""
-    letters = F.regexp_replace(body_text(text, markers), "[^a-z]+", " ")
-    return F.split(F.trim(letters), " ")
+    return F.split(F.trim(body_letters(text, markers)), " ")
 
 
 def is_stop_word(term: Column) -> Column:

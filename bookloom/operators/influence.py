@@ -77,29 +77,48 @@ def author_spans(valid_books: DataFrame, years: int) -> DataFrame:
 
 
 def linked_profiles(some: DataFrame, profiles: DataFrame, years: int) -> DataFrame:
-    """``group_a, group_b``: the profiles within reach of each of ``some``, itself included.
+    """``group_a, group_b``: the profiles within reach of each of ``some``, itself included, each once.
 
     The band condition is an equi-join: of two spans within reach, the one that starts later
     starts in a year between the start of the other and ``years`` after its end. There are few
-    years and one may dominate, so both sides of a year are cut into blocks.
+    years and one may dominate, so both sides of a year are cut into blocks. Profiles may meet in
+    several years, and are reported in the first of them only, by the side that starts later (by
+    the second if both start then); so the long list of pairs needs no ``distinct``.
     """
+    kept = F.struct("profile", "spans")
 
     def reach(side: DataFrame) -> DataFrame:
         year = F.explode(F.sequence("first", F.col("last") + years)).alias("group")
-        return stage(blocks(_spans(side).select(year, F.col("profile").alias("member"))), "reach")
+        met = side.select(kept.alias("member"), F.inline("spans")).select(year, "member")
+        return stage(blocks(met), "reach")
 
     def starts(side: DataFrame) -> DataFrame:
-        spans = _spans(side).select(F.col("first").alias("group"), F.col("profile").alias("member"))
-        return stage(blocks(spans), "starts")
+        met = side.select(kept.alias("member"), F.inline("spans"))
+        return stage(
+            blocks(met.select(F.col("first").alias("group"), F.struct("member.*", "first").alias("member"))), "starts"
+        )
+
+    def first_meeting(a: Column, b: Column) -> Column:
+        near = lambda x, y: (y["first"] <= x["last"] + years) & (x["first"] <= y["last"] + years)
+        of_span = lambda x: F.transform(
+            F.filter(b["spans"], lambda y: near(x, y)), lambda y: F.greatest(x["first"], y["first"])
+        )
+        return F.array_min(F.flatten(F.transform(a["spans"], of_span)))
+
+    def owned(a: Column, b: Column, year: Column) -> Column:
+        single = (F.size(a["spans"]) == 1) & (F.size(b["spans"]) == 1)
+        return F.when(single, True).otherwise(first_meeting(a, b) == year)
 
-    later = pair_members(reach(some), starts(profiles))
+    a, b = F.col("a"), F.col("b")
+    later = pair_members(reach(some), starts(profiles)).where(owned(a, b, b["first"]))
     if some is profiles:
-        sooner = later.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        sooner = later.select(b.alias("a"), a.alias("b"))
     else:
-        sooner = pair_members(starts(some), reach(profiles))
-    return later.unionByName(sooner).select(
-        F.col("a").alias("group_a"), F.col("b").alias("group_b")
-    ).distinct()
+        sooner = pair_members(starts(some), reach(profiles)).where(owned(a, b, a["first"]))
+    # What starts in the same year as well has been met from the other side.
+    sooner = sooner.where(~F.exists(b["spans"], lambda span: span["first"] == a["first"]))
+    ids = a["profile"].alias("group_a"), b["profile"].alias("group_b")
+    return later.select(*ids).unionByName(sooner.select(*ids))
 
 
 def _spans(profiles: DataFrame) -> DataFrame:
@@ -126,39 +145,44 @@ def influence_edges(network: Network) -> DataFrame:
     )
 
 
+def _below(points: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, ``bit`` and ``block``: for each size that is a power of two, the block of ``x``."""
+    bits = F.explode(F.sequence(F.lit(0), F.lit(_BITS - 1))).alias("bit")
+    block = F.call_function("shiftright", F.col("x") - _BEFORE, F.col("bit")).alias("block")
+    return points.select("x", *columns, bits).select("x", *columns, "bit", block)
+
+
+def year_grid(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """``bit, block, y, n``: what points add up to, with a row for every ``y`` that is asked for.
+
+    Its rows are years in blocks of years: a block has at most as many as there are years, however
+    many points and queries there are.
+    """
+    held = _below(points, "y", "n").select("bit", "block", "y", "n")
+    return (
+        held.unionByName(asked.select("bit", "block", "y", F.lit(0).cast("bigint").alias("n")))
+        .groupBy("bit", "block", "y")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
 def dominated(points: DataFrame, queries: DataFrame) -> DataFrame:
     """``key, total``: of every query, the sum of ``n`` over points ``x < x`` and ``y > y`` of its own.
 
     ``points`` are ``x, y, n``, ``queries`` are ``key, x, y``. A point belongs to one block of
     numbers of every size that is a power of two; the numbers below a query's are a few whole
-    blocks, one for each of its bits. Within a block, rows are summed in the order of ``y``, so
-    the largest group are the distinct points, whatever they count. A key without such points
-    has no row.
+    blocks, one for each of its bits. Within a block, sums run over the years of ``year_grid``, from
+    the latest on; a query looks its own up there. Queries are answered once for all that ask the
+    same, and those of one key are added up. A key without such points has no row.
     """
-    place = F.col("x") - _BEFORE
-    bits = F.explode(F.sequence(F.lit(0), F.lit(_BITS - 1))).alias("bit")
-    block = F.call_function("shiftright", place, F.col("bit"))
-    held = (
-        points.select("x", "y", "n", bits)
-        .groupBy("bit", block.alias("block"), "y")
-        .agg(F.sum("n").alias("n"))
-        .select("bit", "block", "y", "n", F.lit(None).cast("bigint").alias("key"))
-    )
-    asked = (
-        queries.select("key", "x", "y", bits)
-        .where(block.bitwiseAND(F.lit(1)) == 1)
-        .select("bit", (block - 1).alias("block"), "y", F.lit(0).alias("n"), "key")
-    )
-    # At the same y a query comes before the points, which are not larger.
-    above = Window.partitionBy("bit", "block").orderBy(F.desc("y"), F.col("key").desc_nulls_last())
-    summed = F.sum("n").over(above.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        held.unionByName(asked)
-        .withColumn("above", summed)
-        .where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.sum("above").alias("total"))
-    )
+    odd = F.col("block").bitwiseAND(F.lit(1)) == 1
+    asked = _below(queries.select("x", "y").distinct(), "y").where(odd)
+    asked = stage(asked.withColumn("block", F.col("block") - 1), "asked")
+    later = Window.partitionBy("bit", "block").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = year_grid(points, asked).select("bit", "block", "y", F.sum("n").over(later).alias("later"))
+    answers = asked.join(sums, ["bit", "block", "y"]).groupBy("x", "y").agg(F.sum("later").alias("total"))
+    found = queries.join(answers.where(F.col("total") > 0), ["x", "y"])
+    return found.groupBy("key").agg(F.sum("total").alias("total"))
 
 
 def _gaps(before: Column, after: Column) -> Column:
@@ -235,22 +259,55 @@ def edge_count(network: Network) -> DataFrame:
     return _profile_degrees(network).agg(total.alias("total_edges"))
 
 
+def authors_by_year(network: Network) -> DataFrame:
+    """``year, least, greatest``: the first and last name of the authors with a span over each year.
+
+    At most one row for each year of four digits. That is enough to tell whether a year has an
+    author other than a given one, which is all that it takes to know that someone is linked.
+    """
+    named = network.authors.groupBy("profile").agg(F.min("author").alias("least"), F.max("author").alias("greatest"))
+    year = F.explode(F.sequence("first", "last")).alias("year")
+    covered = named.join(network.profiles, "profile").select("least", "greatest", F.inline("spans"))
+    return covered.select("least", "greatest", year).groupBy("year").agg(
+        F.min("least").alias("least"), F.max("greatest").alias("greatest")
+    )
+
+
+def first_linked(network: Network, rows: int) -> DataFrame:
+    """``author, profile, spans`` of the first ``rows`` authors by name that have a link, staged.
+
+    Authors are probed in the order of names, ever more of them, until there are enough; a probe
+    asks for the existence of a link and counts none.
+    """
+    years = stage(authors_by_year(network), "by_year")
+    probed = 8 * rows
+    while True:
+        some = stage(network.authors.orderBy("author").limit(probed), "probe")
+        reach = F.explode(F.sequence(F.col("first") - network.years, F.col("last") + network.years))
+        spans = some.join(network.profiles, "profile")
+        met = spans.select("author", F.inline("spans")).select("author", reach.alias("year")).join(years, "year")
+        other = (F.col("least") != F.col("author")) | (F.col("greatest") != F.col("author"))
+        linked = spans.join(met.where(other).select("author").distinct(), "author", "left_semi")
+        found = stage(linked.orderBy("author").limit(rows), "first")
+        if found.count() == rows or some.count() < probed:
+            return found
+        probed *= 16
+
+
 def edge_sample(network: Network, rows: int = 10) -> DataFrame:
     """The first ``rows`` links by author names.
 
-    They start at the first ``rows`` authors that have a link at all, so only those are joined.
+    They start at the first ``rows`` authors that have a link at all, so only those meet the others:
+    in the years that they reach, at most ten thousand for each.
     """
-    first = out_degree(network).orderBy("author").limit(rows).select("author")
-    starts = stage(network.authors.join(first, "author"), "starts")
-    some = network.profiles.join(starts.select("profile").distinct(), "profile", "left_semi")
-    links = linked_profiles(some, network.profiles, network.years)
-    starts = starts.select(F.col("author").alias("author1"), F.col("profile").alias("group_a"))
-    ends = network.authors.select(
-        F.col("author").alias("author2"), F.col("profile").alias("group_b")
-    )
+    starts = first_linked(network, rows)
+    reach = F.explode(F.sequence(F.col("first") - network.years, F.col("last") + network.years)).alias("year")
+    starts = starts.select(F.col("author").alias("author1"), F.inline("spans")).select("author1", reach)
+    held = network.profiles.select("profile", F.inline("spans"))
+    held = held.select("profile", F.explode(F.sequence("first", "last")).alias("year"))
+    met = held.join(starts, "year").select("author1", "profile").distinct()
     return (
-        starts.join(links, "group_a")
-        .join(ends, "group_b")
+        met.join(network.authors.select(F.col("author").alias("author2"), "profile"), "profile")
         .where(F.col("author1") != F.col("author2"))
         .select("author1", "author2")
         .orderBy("author1", "author2")

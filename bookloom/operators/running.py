@@ -36,7 +36,7 @@ def sums_before(
         own = Window.partitionBy(*keys).orderBy(at)
         summed = F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, -1))
         return rows.withColumn("before", F.coalesce(summed, F.lit(0)).cast("bigint"))
-    ranged = rows.withColumn("_range", _shifted(at, digits[0]))
+    ranged = rows.selectExpr("*", f"shiftright({at}, {digits[0]}) as _range")
     totals = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
     offsets = sums_before(
         totals.withColumnRenamed("_range", "_at"), keys, "_at", "_total", digits[1:]

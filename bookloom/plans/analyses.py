@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import influence, metadata, similarity
+from ..operators import influence, metadata, similarity, term_index
 from ..operators import terms as term_ops
 from ..sources.staging import stage
 
@@ -45,6 +45,12 @@ def similar_books(books: DataFrame, target: str, rows: int = fixed.TOP_SIMILAR)
     return similarity.top_similar(cosines(books, target), rows)
 
 
+def book_index(books: DataFrame) -> term_index.TermIndex:
+    """A stored index of the books, for ``term_index.search`` with any number of targets."""
+    terms, idf = weighted_terms(books)
+    return term_index.build_index(terms, stage(idf, "idf"))
+
+
 def book_pairs(books: DataFrame, min_cosine: float) -> DataFrame:
     """``book_a, book_b, cosine`` of all pairs of books that reach ``min_cosine``."""
     keyed = stage(similarity.keyed_terms(term_ops.book_terms(books)), "terms")

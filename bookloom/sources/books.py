@@ -26,3 +26,11 @@ def read_books(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per line of one or many files: ``value``. Lines end in LF, CR or CRLF."""
     return spark.read.text(paths if isinstance(paths, str) else list(paths))
+
+
+def read_counts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``word, count`` from files of ``word<TAB>count`` lines, as ``write_counts`` leaves them."""
+    line = F.split("value", "\t")
+    return read_lines(spark, paths).select(
+        F.get(line, 0).alias("word"), F.get(line, 1).cast("bigint").alias("count")
+    )

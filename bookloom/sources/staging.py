@@ -37,6 +37,11 @@ def staging_scope(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the scope's folder, else the shared one, that nothing has been written to."""
+    return f"{_scope.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back from there.
 
@@ -44,6 +49,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     scanned once, the plan starts anew at a columnar table, and losing an executor loses nothing.
     Outside a ``staging_scope`` nothing deletes the table.
     """
-    path = f"{_scope.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -131,3 +131,49 @@ def test_thousands_of_authors_with_many_spans(spark, monkeypatch):
     assert influence.edge_count(network).first().total_edges == sum(want.values())
     # Only profiles of several spans meet one by one.
     assert met and all(side.where("size(spans) = 1").count() == 0 for pair in met for side in pair)
+
+
+def test_groups_of_sums_do_not_grow_with_the_profiles(spark):
+    # 100,000 profiles of two spans and their gaps, over 320 years.
+    books = spark.range(100_000).selectExpr("id as profile", "cast(1000 + id % 317 as int) as x", "cast(1400 + id div 317 as int) as y")
+    points = books.selectExpr("x", "y", "1L as n")
+    queries = books.selectExpr("profile as key", "x + 3 as x", "y - 3 as y")
+    assert points.distinct().count() > 99_000
+    odd = influence._below(queries.select("x", "y").distinct(), "y").where("block % 2 = 1")
+    asked = odd.selectExpr("x", "y", "bit", "block - 1 as block")
+    grid = influence.year_grid(points, asked)
+    most = grid.groupBy("bit", "block").count().selectExpr("max(count)").first()[0]
+    assert most <= 330
+    plan = influence.dominated(points, queries)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window [") :].splitlines()[1]
+    assert "Aggregate" in window  # of the grid: one row for each year of a block
+    some = influence.dominated(points, queries.where("key % 9973 = 0")).collect()
+    held = [(1000 + i % 317, 1400 + i // 317) for i in range(100_000)]
+    for r in some:
+        x, y = held[r.key][0] + 3, held[r.key][1] - 3
+        assert r.total == sum(a < x and b > y for a, b in held)
+
+
+def test_a_sample_counts_no_degrees(spark, monkeypatch):
+    monkeypatch.setattr(influence, "_profile_degrees", None)
+    rows = [(f"A{i:05}", 1000 + 20 * (i % 400)) for i in range(200)] + [("Z1", 9000), ("Z2", 9003), ("Z3", 9003)]
+    network = network_of(spark, rows)
+    found = [tuple(r) for r in influence.edge_sample(network, 4).collect()]
+    assert found == sorted(brute_force(rows, 5))[:4]  # only the last have links: probed again and again
+    assert influence.authors_by_year(network).count() <= 10_000
+
+
+def test_pairs_that_meet_in_several_years_come_once(spark):
+    rng = random.Random(21)
+    rows = [(f"A{i}", 1500 + 15 * rng.randrange(12)) for i in range(60) for _ in range(4)]
+    network = network_of(spark, rows)
+    links = influence.linked_profiles(network.profiles, network.profiles, 5)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [group_a" not in plan
+    found = [tuple(r) for r in links.collect()]
+    assert len(found) == len(set(found))
+    some = network.profiles.where("profile % 2 = 0")
+    part = [tuple(r) for r in influence.linked_profiles(some, network.profiles, 5).collect()]
+    ids = {r.profile for r in some.collect()}
+    assert sorted(part) == sorted(p for p in found if p[0] in ids)
+    assert edges(influence.influence_edges(network)) == brute_force(rows, 5)

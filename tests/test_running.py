@@ -1,0 +1,44 @@
+"""Running sums and numbers against plain loops."""
+
+import random
+
+import pytest
+
+from bookloom.operators.running import numbered, sums_before
+
+
+@pytest.mark.parametrize("digits", [(), (3,), (10, 16, 16, 16)])
+def test_sums_before(spark, digits):
+    rng = random.Random(4)
+    rows = [(k, at, rng.randrange(5)) for k in "ab" for at in rng.sample(range(-500, 500), 90)]
+    rows += [("c", at, 1) for at in (-(2**63), -(2**57), -1, 0, 2**57, 2**63 - 1)]
+    table = spark.createDataFrame(rows, "k string, at bigint, n bigint")
+    found = {(r.k, r.at): r.before for r in sums_before(table, ["k"], "at", "n", digits).collect()}
+    assert found == {(k, at): sum(n for q, b, n in rows if q == k and b < at) for k, at, _ in rows}
+
+
+def test_a_window_holds_a_range_only(spark):
+    table = spark.range(5000).selectExpr("id", "1 as n", "'x' as k")
+    found = sums_before(table, ["k"], "id", "n", (6, 4))
+    assert {r.id: r.before for r in found.collect()} == {i: i for i in range(5000)}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Window [sum(n" in plan and "[k#" in plan
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 3 and all("_range" in line for line in windows[:1])
+
+
+def test_no_rows(spark):
+    none = spark.createDataFrame([], "k string, at bigint, n bigint")
+    assert sums_before(none, ["k"], "at", "n").collect() == []
+    assert numbered(none, ["at"]).collect() == []
+
+
+def test_numbered(spark, conf):
+    conf("spark.sql.shuffle.partitions", "7")
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), rng.choice("xyz")) for _ in range(500)] + [(None, "x"), (None, None)]
+    table = spark.createDataFrame(rows, "a int, b string").repartition(5)
+    found = numbered(table, ["a", "b"], "place").orderBy("place").collect()
+    assert [r.place for r in found] == list(range(len(rows)))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    assert [(r.a, r.b) for r in found] == sorted(rows, key=key)

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from bookloom.functions import vectors
+from bookloom.functions.vectors import Vectors
 from bookloom.operators import pairs, similarity, terms
 from bookloom.plans import analyses
 from bookloom import sources
@@ -103,14 +105,36 @@ def test_many_copies_and_hot_terms_in_small_blocks(books, monkeypatch, conf):
     assert found == pytest.approx(want, abs=2e-6)
 
 
-def test_leading_terms_save_work(books):
-    texts = random_texts(4, 80, 200, 60)
+def unit_table(books, texts):
     keyed = stage(similarity.keyed_terms(terms.book_terms(books(texts))), "terms")
-    units = stage(
-        similarity.unit_vectors(keyed, terms.idf(keyed, terms.vocabulary(keyed))), "units"
-    )
-    candidates = similarity._candidates(units, 0.8).count()
-    assert candidates < 80 * 79 // 2 // 4
+    return stage(similarity.unit_vectors(keyed, terms.idf(keyed, terms.vocabulary(keyed))), "units")
+
+
+def in_arrow(units, least):
+    dealt = similarity._dealt(units, least, 1)
+    return Vectors.of(dealt.toArrow())
+
+
+def test_leading_terms_save_work(books):
+    held = in_arrow(unit_table(books, random_texts(4, 80, 200, 60)), 0.8)
+    index = vectors._Index.of(held, int(held.terms.max()) + 1)
+    met = sum(len(vectors._met(index, len(held.ids), held, row, 0.8)) - 1 for row in range(len(held.ids)))
+    assert met < 80 * 79 // 4
+    assert held.leads.sum() < 0.8 * len(held.terms)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.6])
+def test_an_index_against_all_products(books, least):
+    held = in_arrow(unit_table(books, random_texts(13, 70, 90, 30)), least)
+    dense = np.zeros((len(held.ids), int(held.terms.max()) + 1))
+    for row in range(len(held.ids)):
+        own = slice(held.starts[row], held.starts[row + 1])
+        dense[row, held.terms[own]] = held.units[own]
+    product = dense @ dense.T
+    want = {(a, b): product[i, j] for i, a in enumerate(held.ids.tolist()) for j, b in enumerate(held.ids.tolist()) if a < b and product[i, j] >= least}
+    found = vectors.similar_pairs(held, None, least).to_pylist()
+    assert {(r["group_a"], r["group_b"]): r["cosine"] for r in found} == pytest.approx(want)
+    assert len(found) == len(want)
 
 
 def test_min_cosine_must_be_positive(spark):
@@ -139,21 +163,30 @@ def test_books_of_the_same_name_from_files(spark, tmp_path):
 
 def test_groups_of_pairs_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_GROUP_BYTES", 60_000)
-    entry = "struct<term:int,unit:double>"
+    monkeypatch.setattr(similarity, "_PART_ROWS", 500)
+    entry = "struct<term:int,unit:double,before:double,after:double>"
     units = spark.range(4000).selectExpr(
-        "id", f"cast(transform(sequence(1, if(id % 500 = 0, 300, 5)), x -> struct(int(x), 0.1D)) as array<{entry}>) as entries"
+        "id", f"cast(transform(sequence(1, if(id % 500 = 0, 300, 5)), x -> struct(int(x), 0.1D, 0.5D, 0.4D)) as array<{entry}>) as entries"
     )
-    hub = spark.range(1, 3000).selectExpr("0L as group_a", "id as group_b")  # one vector, many partners
-    long = spark.range(1, 8).selectExpr("500 * (id - 1) as group_a", "500 * id as group_b")
-    candidates = stage(hub.unionByName(long).distinct(), "candidates")
-    work = stage(similarity._work(units, candidates), "work")
-    assert work.count() == candidates.count()
-    sizes = {r.id: r.n for r in units.selectExpr("id", "size(entries) * 12 as n").collect()}
+    parts = similarity._parts(units)
+    assert parts == 8  # 4,000 rows, 447,000 bytes
     groups = {}
-    for r in work.collect():
-        groups.setdefault((r.part_a, r.part_b, r.chunk), set()).update([r.group_a, r.group_b])
-    held = [sum(sizes[i] for i in ids) for ids in groups.values()]
-    assert max(held) <= 2 * 60_000 and len(held) > 20
+    for r in similarity._dealt(units, 0.3, parts).selectExpr("i", "j", "part", "id", "size(term) as n").collect():
+        groups.setdefault((r.i, r.j), []).append((r.part, r.id, r.n))
+    assert len(groups) == parts * (parts + 1) // 2
+    assert max(sum(20 * n for *_, n in rows) for rows in groups.values()) <= 2.5 * 60_000
+    met = {(min(a, b), max(a, b)) for rows in groups.values() for p, a, _ in rows[:40] for q, b, _ in rows[:40] if a != b}
+    assert met
+    of = {i: p for rows in groups.values() for p, i, _ in rows}
+    assert len(of) == 4000
+    for (i, j), rows in groups.items():  # a pair of parts holds all of both
+        assert sorted(r[1] for r in rows) == sorted(x for x, p in of.items() if p in (i, j))
+
+
+def test_no_rows_of_pairs_are_generated(books):
+    units = unit_table(books, WHALES)
+    plan = similarity._similar(units, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "FlatMapGroupsInArrow" in plan  # the parts that a vector meets
 
 
 def test_a_meeting_is_dropped_only_below_the_threshold(books):

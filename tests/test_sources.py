@@ -84,3 +84,48 @@ def test_a_scope_deletes_its_tables(spark):
         staged = sources.stage(spark.range(5), "numbers")
         assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_counts_are_read_back(spark, tmp_path):
+    put(tmp_path, "a.txt", b"b a b\n'\n")
+    out = str(tmp_path / "out")
+    sources.write_counts(word_count(sources.read_lines(spark, f"{tmp_path}/a.txt")), out)
+    found = sources.read_counts(spark, out)
+    assert found.dtypes == [("word", "string"), ("count", "bigint")]
+    assert {tuple(r) for r in found.collect()} == {("a", 1), ("b", 2), ("'", 1)}
+
+
+def test_books_are_written_and_read_back(spark, books, tmp_path):
+    texts = {"1.txt": "Title: A\r\n\rline\n", "2.txt": "", "a b.txt": "\u65e5\u672c \x00", "long.txt": "x" * 3_000_000}
+    out = str(tmp_path / "books")
+    assert sources.write_books(books(texts).repartition(3), out) == 4
+    found = {r.file_name: r.text for r in sources.read_books(spark, out).collect()}
+    assert found.pop("a%20b.txt") == texts.pop("a b.txt")
+    assert found.get("2.txt", "") == texts.pop("2.txt")
+    found.pop("2.txt", None)
+    assert found == texts
+    with pytest.raises(ValueError, match="exists"):
+        sources.write_books(books({"3.txt": "x"}), out)
+    assert not os.path.exists(f"{out}/3.txt")
+
+
+@pytest.mark.parametrize("names", [["a.txt", "a.txt"], ["a/b.txt"], [None], [""]])
+def test_names_that_are_no_files(spark, tmp_path, names):
+    table = spark.createDataFrame([(n, "x") for n in names], "file_name string, text string")
+    with pytest.raises(ValueError):
+        sources.write_books(table, str(tmp_path / "out"))
+    assert not os.path.exists(tmp_path / "out")
+
+
+def test_unfinished_books_are_not_read(spark, books, tmp_path):
+    out = tmp_path / "books"
+    sources.write_books(books({"1.txt": "x", "2.txt": None}), str(out))
+    put(out, "_3.txt.0123", b"half of a te")
+    assert {r.file_name for r in sources.read_books(spark, str(out)).collect() if r.text} == {"1.txt"}
+
+
+def test_new_paths_are_in_the_scope(spark):
+    assert sources.new_path(spark, "a").startswith(staging.shared_folder(spark))
+    with sources.staging_scope(spark) as folder:
+        assert sources.new_path(spark, "a").startswith(folder)
+        assert sources.new_path(spark, "a") != sources.new_path(spark, "a")
