@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import numbered
 from ..sources.staging import stage
 from .components import components
 from .process import once_per_process
@@ -417,6 +418,31 @@ def near_duplicates(
     return named.join(sizes, "class_id").select("doc_id", "class_id", "copies")
 
 
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, key, text``: each row with its id, or a number of its own if that id has other texts.
+
+    Of different texts that share an id the one of the smallest hash keeps it; the others get
+    numbers beyond all ids (or below them, where there is no room), so that each is a document.
+    Only rows of such ids are numbered, and equal texts of an id stay one document.
+    """
+    row = F.struct(*[F.col(f"`{name}`") for name in documents.columns])
+    rows = documents.select(
+        row.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("hash"),
+    )
+    texts = rows.where(F.col("id").isNotNull()).select("id", "hash")
+    shared = texts.groupBy("id").agg(F.min("hash").alias("first"), F.max("hash").alias("last"))
+    shared = stage(shared.where(F.col("first") != F.col("last")).select("id", "first"), "shared")
+    others = texts.join(shared, "id").where(F.col("hash") != F.col("first")).select("id", "hash").distinct()
+    others = numbered(others, ["id", "hash"])
+    low, high = texts.agg(F.min("id"), F.max("id")).first()
+    many = others.count()
+    start = 0 if low is None else high + 1 if high + many < 2**63 else low - many
+    own = others.select("id", "hash", (F.col("number") + F.lit(start)).alias("own"))
+    found = rows.join(own, ["id", "hash"], "left")
+    return found.select("row", F.coalesce("own", "id").alias("key"), "text")
+
+
 def keep_representatives(
     documents: DataFrame,
     similarity: float = SIMILARITY,
@@ -425,10 +451,12 @@ def keep_representatives(
 ) -> DataFrame:
     """The rows of ``documents``, columns as they are, without those of a smaller id's near copies.
 
-    Rows without an id stay. Of repeated rows of a kept id one stays.
+    Rows without an id stay. Of rows that repeat an id and a text one stays; different texts of one
+    id are documents by themselves. An empty table gives no rows.
     """
-    classes = near_duplicates(documents, similarity, id_col, text_col)
-    copies = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_copy"))
-    named = documents.where(F.col(id_col).isNotNull())
-    kept = named.join(copies, named[id_col].cast("bigint") == F.col("_copy"), "left_anti")
-    return kept.dropDuplicates([id_col]).unionByName(documents.where(F.col(id_col).isNull()))
+    rows = _keyed(documents, id_col, text_col)
+    classes = near_duplicates(rows, similarity, "key", "text")
+    copies = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("key"))
+    kept = rows.where(F.col("key").isNotNull()).join(copies, "key", "left_anti").dropDuplicates(["key"])
+    found = kept.unionByName(rows.where(F.col("key").isNull())).select("row")
+    return found.select(*[F.col("row").getField(name).alias(name) for name in documents.columns])

@@ -161,3 +161,17 @@ def test_components_of_a_chain_and_a_hub(spark):
     df = spark.createDataFrame(links, "a bigint, b bigint")
     assert {r.id: r.component for r in components(df).collect()} == classes(links[:-1], ids | {5000} - {5000})
     assert components(df.where(F.lit(False))).collect() == []
+
+
+def test_different_texts_of_one_id_are_documents(spark):
+    t, u, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuz")
+    rows = [(1, t, "x", 5), (1, u, "y", 6), (2, t + " end", "x", 7), (3, u, "q", 8), (3, z, "r", 9), (None, "a", "b", 1),
+            (4, None, "c", 2), (4, None, "c", 2), (5, z, "d", 3), (1, t, "x", 5), (2**63 - 1, "far away", "k", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _copy string, row int").repartition(3)
+    kept = dedup.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert len(found) == len(set(found)) == 6 and set(found) <= set(rows)
+    assert {r[1][:40] for r in found if r[1]} == {t[:40], u[:40], z[:40], "a", "far away"}
+    assert {r[0] for r in found} == {1, 3, 4, None, 2**63 - 1}
+    assert dedup.keep_representatives(docs.limit(0)).collect() == []

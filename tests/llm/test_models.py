@@ -243,3 +243,67 @@ def test_mixing_nothing(spark):
     assert mixing.sample(empty).collect() == []
     blank = spark.createDataFrame([(1, None, None, None, 0, 1, 0.5)], KIND)
     assert [r.selected for r in mixing.mix(blank).collect()] == [False]
+
+
+def plain_fit(tokens, targets, rounds=2000):
+    """Iterative proportional fitting of a dense array, one margin after the other."""
+    weights = tokens / tokens.sum()
+    for _ in range(rounds):
+        for axis, target in enumerate(targets):
+            sums = weights.sum(tuple(i for i in range(weights.ndim) if i != axis), keepdims=True)
+            by = np.divide(target.reshape(sums.shape), sums, out=np.zeros_like(sums), where=sums > 0)
+            weights = weights * by
+    return weights
+
+
+def cells_of(spark, tokens):
+    rows = [(f"s{i}", f"l{j}", k, int(n)) for (i, j, k), n in np.ndenumerate(tokens) if n]
+    return spark.createDataFrame(rows, "source string, lang string, topic int, tokens bigint").repartition(3)
+
+
+def shares(spark, name, values):
+    kind = "int" if name == "topic" else "string"
+    label = (lambda i: i) if name == "topic" else (lambda i: f"{name[0]}{i}")
+    return spark.createDataFrame([(label(i), float(v)) for i, v in enumerate(values)], f"{name} {kind}, share double")
+
+
+def test_factors_give_what_plain_fitting_gives(spark):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 50, (9, 4, 3)) * (rng.random((9, 4, 3)) < 0.7)
+    tokens[0] *= 1000  # a hot source
+    targets = [rng.random(n) + 0.1 for n in tokens.shape]
+    targets = [t / t.sum() for t in targets]
+    tables = {n: shares(spark, n, t) for n, t in zip(mixing.MARGINS, targets)}
+    raked = mixing.rake(cells_of(spark, tokens), tables, tolerance=1e-9)
+    assert raked.deviation <= 1e-9 and not raked.moved
+    want = plain_fit(tokens.astype(float), targets)
+    found = np.zeros(tokens.shape)
+    for r in raked.cells.collect():
+        found[int(r.source[1:]), int(r.lang[1:]), r.topic] = r.weight
+    assert found == pytest.approx(want, abs=1e-7)
+
+
+def test_margins_that_no_weights_have(spark):
+    # Topics are parts of languages, so the shares of topics fix those of languages.
+    tokens = np.zeros((3, 2, 4))
+    tokens[:, 0, :2], tokens[:, 1, 2:] = 10, 30
+    tables = {"source": shares(spark, "source", [0.2, 0.3, 0.5]), "lang": shares(spark, "lang", [0.5, 0.5]),
+              "topic": shares(spark, "topic", [0.1, 0.1, 0.4, 0.4])}
+    raked = mixing.rake(cells_of(spark, tokens), tables)
+    assert raked.moved and raked.deviation <= mixing.TOLERANCE
+    sums = raked.cells.toPandas().groupby("source").weight.sum()
+    assert sums.to_numpy() == pytest.approx([0.2, 0.3, 0.5], rel=2e-3)
+    kept = mixing.rake(cells_of(spark, tokens), tables, ["lang"])
+    assert kept.cells.toPandas().groupby("lang").weight.sum().to_numpy() == pytest.approx([0.5, 0.5], rel=2e-3)
+    with pytest.raises(ValueError, match="no weights"):
+        mixing.rake(cells_of(spark, tokens), tables, ["lang", "topic"])
+
+
+def test_names_that_clash_with_the_mixing_columns(spark):
+    rows = [(i, f"a{i % 7} b c", "en", f"s{i % 3}", 1, "x", 0.5, 2) for i in range(200)]
+    names = "doc_id bigint, text string, lang string, source string, tokens int, _about string, probability double, topic int"
+    docs = spark.createDataFrame(rows, names)
+    kept = mixing.sample(docs)
+    assert kept.dtypes == docs.dtypes
+    found = [tuple(r) for r in kept.collect()]
+    assert set(found) <= set(rows) and 0 < len(found) < len(rows)

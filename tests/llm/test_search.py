@@ -140,3 +140,21 @@ def test_candidates_are_abandoned():
     exact_scores = asked @ held.T
     near = exact_scores >= 0.8
     assert np.allclose(scores[near], exact_scores[near])
+
+
+def test_every_query_gets_its_rows_where_few_lists_are_probed(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((60, 24))
+    count = 6000  # more than the sample
+    vectors = {i: (centres[i % 60] + 0.3 * rng.standard_normal(24)).astype(np.float32).tolist() for i in range(count)}
+    df = cells.usable(table(spark, vectors.items()), zero=False)
+    index = neighbours.build(df, 20)
+    assert count > neighbours.SAMPLE_ROWS == len(index.sample_ids) and index.probes < len(index.centres)
+    found = neighbours.nearest(df, F.col("vec_id") % 40 == 0, 20).collect()
+    assert len(found) == 20 * count // 40
+    assert {(r.query_id, r.rank) for r in found} == {(q, k) for q in range(0, count, 40) for k in range(1, 21)}
+    held = np.array([vectors[i] for i in range(count)], float)
+    scores = held[::40] @ held.T
+    scores[np.arange(count // 40), np.arange(0, count, 40)] = -np.inf
+    least = np.sort(scores, axis=1)[:, -20]
+    assert np.mean([r.score >= least[r.query_id // 40] - 1e-5 for r in found]) >= 0.9
