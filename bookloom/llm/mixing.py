@@ -30,6 +30,7 @@ TEMPER = 0.7  # default targets: shares of tokens to this power
 FRACTION = 0.5  # of all tokens that a sample should have
 TOLERANCE = 1e-3  # of a margin's share, relative
 STALLED = 20  # rounds in which the worst margin comes no nearer: no weights have these margins
+INNER = 200  # rounds over the margins other than the first, for each round over all
 TABLE = 4_000_000  # languages times topics, at most: their sums are added up on the driver
 _KEPT = 150_000
 _UNIT = 1 << 24  # profiles are summed in whole numbers: the sums do not depend on the order
@@ -254,6 +255,23 @@ class _Table(NamedTuple):
         return found
 
 
+    def settled(self, table: np.ndarray, tolerance: float) -> list[np.ndarray]:
+        """By what the margins of the table are scaled until they hold together, or nearly.
+
+        The table is small, so these rounds cost nothing; the values of the first margin see one.
+        """
+        total = [np.ones(len(share)) for share in self.shares]
+        for _ in range(INNER):
+            found = self.scales(table)
+            total = [by * more for by, more in zip(total, found)]
+            for axis, by in enumerate(found):
+                table = table * _along(by, axis, len(self.shares))
+            off = [np.abs(_sums(table, axis) - share) / np.maximum(share, 1e-300) for axis, share in enumerate(self.shares)]
+            if max((one.max() for one in off), default=0.0) <= tolerance:
+                break
+        return total
+
+
 _WHOLE = float(1 << 60)  # weights are summed in whole numbers: the sums do not depend on the order
 
 
@@ -350,7 +368,7 @@ def rake(
             break
         best = len(history) - 1 if history[-1] < 0.99 * history[best] else best
         if len(history) - 1 - best < STALLED:
-            factors = [factor * by for factor, by in zip(factors, table.scales(now))]
+            factors = [factor * by for factor, by in zip(factors, table.settled(now, tolerance / 10))]
             continue
         if len(fixed) > 1:
             raise ValueError(f"no weights of these cells have these margins: they are {history[-1]:.2g} off, relative")
