@@ -29,23 +29,23 @@ def fit_vectors(
     size: int = fixed.VOCABULARY_SIZE,
     min_books: int = fixed.MIN_BOOKS_PER_TERM,
 ) -> PipelineModel:
-    """Fit the stages from words to ``normalized_tfidf``.
+    """Fit the stages from words to ``units``.
 
     MLlib breaks ties at the end of the vocabulary arbitrarily; pass the terms of
     ``terms.vocabulary`` (at most ``size``) for a fixed choice and to save one pass.
     """
     remover = StopWordsRemover(
-        inputCol="words", outputCol="filtered_words", stopWords=list(fixed.STOP_WORDS)
+        inputCol="words", outputCol="kept", stopWords=list(fixed.STOP_WORDS)
     )
     filtered = remover.transform(words)
     if vocabulary is None:
         counter = CountVectorizer(
-            inputCol="filtered_words", outputCol="tf_features", vocabSize=size, minDF=min_books
+            inputCol="kept", outputCol="counts", vocabSize=size, minDF=min_books
         ).fit(filtered)
     else:
         counter = CountVectorizerModel.from_vocabulary(
-            vocabulary, inputCol="filtered_words", outputCol="tf_features"
+            vocabulary, inputCol="kept", outputCol="counts"
         )
-    idf = IDF(inputCol="tf_features", outputCol="tfidf_features").fit(counter.transform(filtered))
-    unit = Normalizer(inputCol="tfidf_features", outputCol="normalized_tfidf")
+    idf = IDF(inputCol="counts", outputCol="weights").fit(counter.transform(filtered))
+    unit = Normalizer(inputCol="weights", outputCol="units")
     return PipelineModel([remover, counter, idf, unit])

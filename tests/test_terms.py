@@ -145,7 +145,7 @@ def test_same_weights_as_mllib(books):
         found = {
             (r.file_name, names[i]): value
             for r in model.transform(words).collect()
-            for i, value in zip(r.normalized_tfidf.indices, r.normalized_tfidf.values)
+            for i, value in zip(r.units.indices, r.units.values)
         }
         assert found == pytest.approx(want, abs=1e-12)
 
