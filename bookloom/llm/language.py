@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from .process import once_per_process
-from .url_reputation import domain_of, host_and_path, suffix_of
+from .url_reputation import LONG_SUFFIXES, domain_of, host_and_path, suffix_of
 
 SAMPLE_ROWS = 6000  # documents of each language that the text model is fitted on, about
 WIDTH = 8192  # of the hashed words and endings
@@ -193,7 +193,8 @@ def identify(
     )
 
     hosts = texts.groupBy("host").agg(_sums(size).alias("n"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = hosts.withColumn("domain", domain_of(F.col("host"), LONG_SUFFIXES))
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), LONG_SUFFIXES))
     domains = hosts.groupBy("domain", "suffix").agg(_sums(size, "n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(_sums(size, "n").alias("n"))
     everything = suffixes.agg(_sums(size, "n").alias("n")).first()["n"]

@@ -66,7 +66,8 @@ def _packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _urls(spark: SparkSession, folder: str) -> DataFrame:
-    judged = url_reputation.judge_urls(_table(spark, folder, "pages"))
+    pages = _table(spark, folder, "pages")
+    judged = url_reputation.judge_urls(pages, long_suffixes=url_reputation.LONG_SUFFIXES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -165,7 +166,10 @@ _URLS_SQL = f"""
       from parts),
     ruled as (select *, {_cases(0)} as rule, {_cases(1)} as by_rule from split),
     host_sums as (
-      select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix,
+      select host, array_to_string(string_split(host, '.')[-2:], '.') as two,
+             two in ({", ".join(f"'{suffix}'" for suffix in url_reputation.LONG_SUFFIXES)}) as long,
+             case when long then array_to_string(string_split(host, '.')[-3:], '.') else two end as domain,
+             case when long then two else string_split(host, '.')[-1] end as suffix,
              sum(case by_rule when 'allow' then 1.0 else 0.0 end) as good, count(by_rule) as labelled
       from ruled group by host),
     domain_sums as (select domain, suffix, sum(good) as good, sum(labelled) as labelled from host_sums group by all),

@@ -18,6 +18,15 @@ RULES = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
     ("com/fr/", "allow"), ("com/de/", "block"),
 )
+# Suffixes of two labels, under which domains are registered one label further down.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph",
+    "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn",
+    "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br",
+    "org.cn", "org.nz", "org.uk", "org.za", "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev",
+    "readthedocs.io", "vercel.app", "wordpress.com",
+)
 THRESHOLD = 0.5
 DEVIATIONS = 1.645  # of the posterior; the bound is that of a one-sided 95 % interval
 STRENGTHS = (1.0, 1000.0)  # a prior counts as so many pages at least and at most
