@@ -1,9 +1,10 @@
 """Licence scans with a positional index of rare words.
 
-The words of the licence templates are weighed by inverse document frequency over all documents.
-Of each template the rarest words are posted with their positions. A file looks up its licence
-words there; postings that agree on where the template would begin are intersected, and a place
-counts if the template's key phrase stands there word by word.
+The words of the licence templates are weighed by inverse document frequency over all documents and
+posted with their positions. A file looks up its licence words of the highest weight: so many that
+no template could reach ``MIN_SCORE`` by its other words alone. Postings that agree on where the
+template would begin are intersected, and a place counts if what they weigh may still make up the
+score and the template's key phrase stands there word by word. So no place with that score is lost.
 """
 
 from __future__ import annotations
@@ -22,23 +23,45 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Label: text of the template, and the key phrase that has to stand in its place.
 TEMPLATES = {
     "apache-2.0": ("licensed under the apache license version 2 0", "apache license"),
+    "agpl-3.0": ("licensed under the gnu affero general public license version 3", "affero general public license"),
+    "apache-text": (
+        "unless required by applicable law or agreed to in writing software distributed under the license"
+        " is distributed on an as is basis without warranties or conditions of any kind",
+        "as is basis",
+    ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted",
         "redistribution and use",
     ),
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "cc by nc"),
+    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", "cc by sa"),
+    "cc0-1.0": ("cc0 1 0 universal public domain dedication", "public domain dedication"),
+    "epl-2.0": ("this program is made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    "gpl-2.0": (
+        "either version 2 of the license or at your option any later version", "version 2 of the license",
+    ),
     "gpl-3.0": (
         "this work is licensed under the gnu general public license version 3",
         "general public license",
     ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify",
+    ),
+    "lgpl-3.0": ("licensed under the gnu lesser general public license version 3", "lesser general public license"),
     "mit": ("released under the mit license", "mit license"),
     "mit-text": (
         "permission is hereby granted free of charge to any person obtaining a copy",
         "permission is hereby granted",
     ),
+    "mpl-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain", "free and unencumbered software",
+    ),
     "reserved": ("all rights reserved", "all rights reserved"),
 }
-POSTED = 4  # rarest words of a template that are posted
 MIN_SCORE = 0.6  # share of a template's weight that has to be in place
 
 # Bytes outside of words become spaces, A-Z becomes a-z; bytes from 0x80 on belong to words.
@@ -58,7 +81,7 @@ class Rules(NamedTuple):
     phrases: list  # words, label, place of the rarest word
     templates: list  # words, weights, label, place and words of the key phrase
     postings: dict  # word: [(template, place)]
-    votes: list  # postings of each template that have to agree
+    gates: list  # weight of each template's postings that has to agree on a place, at least
     anchors: frozenset  # every word that a scan looks for
 
 
@@ -105,18 +128,21 @@ def rules_of(
     every = {w for ws, _ in [*split.values(), *said] for w in ws}
     idf = word_weights(documents, sorted(every), text_col)
     rarest = lambda ws: max(range(len(ws)), key=lambda i: (idf[ws[i]], -i))
-    listed, votes, postings = [], [], defaultdict(list)
+    listed, gates, postings = [], [], defaultdict(list)
     for number, (label, (words, key)) in enumerate(sorted(split.items())):
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         weights = [idf[w] + 1e-9 for w in words]
         listed.append((words, weights, label, at, key))
-        places = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:POSTED]
-        for place in places:
+        rest, least = sum(weights), MIN_SCORE * sum(weights)
+        for place in sorted(range(len(words)), key=lambda i: (-weights[i], i)):
+            if rest < least:
+                break
             postings[words[place]].append((number, place))
-        votes.append((len(places) + 1) // 2)
+            rest -= weights[place]
+        gates.append(least - max(rest, 0.0))
     counted = [(words, label, rarest(words)) for words, label in said]
     anchors = frozenset(postings) | {words[at] for words, _, at in counted}
-    return Rules(counted, listed, dict(postings), votes, anchors)
+    return Rules(counted, listed, dict(postings), gates, anchors)
 
 
 def scan_words(words: list[bytes], rules: Rules) -> tuple:
@@ -130,14 +156,14 @@ def scan_words(words: list[bytes], rules: Rules) -> tuple:
                 starts.append(i - at)
                 base.add(label)
                 count += 1
-    agree: dict = defaultdict(int)
+    agree: dict = defaultdict(float)
     for i, w in hits:
         for template, place in rules.postings.get(w, ()):
-            agree[template, i - place] += 1
+            agree[template, i - place] += rules.templates[template][1][place]
     labels, best = set(base), 0.0
-    for (template, begin), n in agree.items():
+    for (template, begin), weight in agree.items():
         text, weights, label, at, key = rules.templates[template]
-        if n < rules.votes[template] or begin + at < 0:
+        if weight < rules.gates[template] * (1 - 1e-9) or begin + at < 0:
             continue
         if words[begin + at : begin + at + len(key)] != key:
             continue

@@ -162,6 +162,40 @@ def test_licence_scans(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCUMENTS)).collect() == []
 
 
+def test_no_place_of_a_template_is_missed(spark):
+    rng = random.Random(14)
+    names = sorted(licenses.TEMPLATES)
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            own = licenses.TEMPLATES[rng.choice(names)][0].split()
+            own = [rng.choice(["the", "license", "or", "x"]) if rng.random() < rng.choice([0, 0.2, 0.5]) else w for w in own]
+            if rng.random() < 0.3:
+                own = own[rng.randrange(len(own)) :]
+            words += own + rng.choices(["the", "under", "of", "y"], k=rng.randrange(4))
+        rows.append((i, " ".join(words), "", 0, ""))
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    weights = licenses.word_weights(df, sorted({w.encode() for t, _ in licenses.TEMPLATES.values() for w in t.split()}))
+    hit = 0
+    for r in licenses.scan_licenses(df).collect():
+        words, labels, best = rows[r.doc_id][1].split(), set(plain_scan(rows[r.doc_id][1])[4].split(",")) - {""}, 0.0
+        for label, (text, key) in licenses.TEMPLATES.items():
+            own, key = text.split(), key.split()
+            at = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
+            each = [weights[w.encode()] + 1e-9 for w in own]
+            for begin in range(-at, len(words)):
+                if words[begin + at : begin + at + len(key)] != key:
+                    continue
+                there = sum(e for k, (w, e) in enumerate(zip(own, each)) if 0 <= begin + k < len(words) and words[begin + k] == w)
+                score = min(1.0, there / sum(each))
+                if score >= licenses.MIN_SCORE:
+                    labels.add(label)
+                    best, hit = max(best, score), hit + 1
+        assert r.labels == ",".join(sorted(labels)) and r.score == pytest.approx(best), r.doc_id
+    assert hit > 200
+
+
 def test_weights_count_documents(spark):
     df = spark.createDataFrame([("mit mit",), ("MIT x",), (None,), ("the",)], "text string")
     weights = licenses.word_weights(df, [b"mit", b"the", b"bsd"])
