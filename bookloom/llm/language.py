@@ -78,6 +78,8 @@ def fit_text(
     """Learn word likelihoods of every language that a document with a text has.
 
     Of a language at most about ``SAMPLE_ROWS`` documents are read, by a hash of id and text.
+    Documents without a language or a text are not used, an empty text says nothing, and repeated
+    rows are read or left together. An empty table gives a model of no language.
     """
     known = documents.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),

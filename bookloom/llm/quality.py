@@ -176,7 +176,9 @@ def fit(
     ``bad_share`` is the quantile of the scores of all documents that becomes the threshold; by
     default it is the share of bad documents among all that are labelled, give or take the
     error of that share (see ``threshold``). Without both good and bad documents every text gets the same
-    score, above the threshold.
+    score, above the threshold. Labels that are null, or of an id that is null or no document's, are not
+    used; a repeated row or label counts each time it is there; a null text counts as empty. Without
+    documents the model is that of no labels. Other columns of ``documents`` are not read.
     """
     sampled = sample_of_labels(labels, F.col("label"), most)
 
@@ -237,12 +239,20 @@ def fit(
 def score_documents(
     documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, raw, score`` of every row; a null text counts as empty, other columns are ignored."""
+    """``doc_id, raw, score`` of every row.
+
+    A null text counts as empty, and one of any length is scored whole. Rows without an id and repeated
+    rows are scored each, an empty table gives no rows, and other columns are ignored.
+    """
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     raw = rows.select("doc_id", model.raw(rows).alias("raw"))
     return raw.select("doc_id", "raw", model.mapped(F.col("raw")).alias("score"))
 
 
 def keep_good(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``documents``, with their columns as they are, whose score is not under the threshold."""
+    """The rows of ``documents``, with their columns as they are, whose score is not under the threshold.
+
+    Null texts are judged as empty ones. Repeated rows stay or go together, rows without an id are
+    judged by their text, and an empty table gives no rows.
+    """
     return documents.where(model.raw(documents, text_col) >= model.cut)

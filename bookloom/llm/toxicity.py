@@ -246,7 +246,9 @@ def fit(
 ) -> Model:
     """Learn a model from ``labels`` (``doc_id, label``, 1 is toxic), of which ``most`` are used.
 
-    Without toxic documents, or without entries that mark them, every text scores near 0.
+    Without toxic documents, or without entries that mark them, every text scores near 0; so it does
+    without documents. Labels that are null, or of an id that is null or no document's, are not used.
+    Repeated rows and copies of a text count once, toxic if any of them is. Null texts count as empty.
     """
     sampled = sample_of_labels(labels, F.col("label"), most)
     texts = labelled_texts(documents, sampled, most, id_col, text_col)
@@ -302,7 +304,11 @@ def fit(
 def score_documents(
     documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, score`` of every row; a null text counts as empty, other columns are ignored."""
+    """``doc_id, score`` of every row.
+
+    A null text counts as empty, and one of any length is scored whole. Rows without an id and repeated
+    rows are scored each, an empty table gives no rows, and other columns are ignored.
+    """
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.select("doc_id", model.score(rows).alias("score"))
 
@@ -310,5 +316,9 @@ def score_documents(
 def keep_clean(
     documents: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``documents``, with their columns as they are, that score under ``threshold``."""
+    """The rows of ``documents``, with their columns as they are, that score under ``threshold``.
+
+    Null texts are judged as empty ones. Repeated rows stay or go together, rows without an id are
+    judged by their text, and an empty table gives no rows.
+    """
     return documents.where(model.score(documents, text_col) < threshold)
