@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: five stages, each written and read again.
 
 A stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. All but the
-last return rows of ``docs`` with the columns as they are.
+last return rows of ``docs`` with the columns as they are, and whatever more of them there are. Null
+texts are judged as empty ones and rows without an id by their text; an empty table passes all
+stages as one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.3."""
+    """Documents whose toxicity score is under 0.3; repeated rows stay or go together."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, _labels(spark, sf_dir, "toxic")))
 
 
@@ -30,17 +32,23 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Of rows that repeat an id and a text one stays, rows without an id all stay.
+    """
     return dedup.keep_representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens come near the target weights of sources, languages and topics."""
+    """A sample whose tokens come near the target weights of sources, languages and topics.
+
+    Documents without words are not sampled; rows of one id and cell are sampled alike.
+    """
     return mixing.sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences; repeated rows are packed each."""
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
