@@ -274,16 +274,17 @@ def test_factors_give_what_plain_fitting_gives(spark):
     targets = [rng.random(n) + 0.1 for n in tokens.shape]
     targets = [t / t.sum() for t in targets]
     tables = {n: shares(spark, n, t) for n, t in zip(mixing.MARGINS, targets)}
-    raked = mixing.rake(cells_of(spark, tokens), tables, tolerance=1e-9)
-    assert raked.deviation <= 1e-9 and not raked.moved
+    raked = mixing.rake(cells_of(spark, tokens), tables, tolerance=1e-7)
+    assert raked.deviation <= 1e-7 and not raked.moved
     want = plain_fit(tokens.astype(float), targets)
     found = np.zeros(tokens.shape)
     for r in raked.cells.collect():
         found[int(r.source[1:]), int(r.lang[1:]), r.topic] = r.weight
-    assert found == pytest.approx(want, abs=1e-7)
+    assert found == pytest.approx(want, abs=1e-6)
 
 
-def test_margins_that_no_weights_have(spark):
+def test_margins_that_no_weights_have(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STALLED", 4)
     # Topics are parts of languages, so the shares of topics fix those of languages.
     tokens = np.zeros((3, 2, 4))
     tokens[:, 0, :2], tokens[:, 1, 2:] = 10, 30
