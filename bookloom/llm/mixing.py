@@ -258,17 +258,20 @@ class _Table(NamedTuple):
     def settled(self, table: np.ndarray, tolerance: float) -> list[np.ndarray]:
         """By what the margins of the table are scaled until they hold together, or nearly.
 
-        The table is small, so these rounds cost nothing; the values of the first margin see one.
+        The table is small, so these rounds cost nothing; the values of the first margin see one. They
+        end early where they bring the margins no nearer.
         """
-        total = [np.ones(len(share)) for share in self.shares]
+        total, last = [np.ones(len(share)) for share in self.shares], np.inf
         for _ in range(INNER):
             found = self.scales(table)
             total = [by * more for by, more in zip(total, found)]
             for axis, by in enumerate(found):
                 table = table * _along(by, axis, len(self.shares))
             off = [np.abs(_sums(table, axis) - share) / np.maximum(share, 1e-300) for axis, share in enumerate(self.shares)]
-            if max((one.max() for one in off), default=0.0) <= tolerance:
+            worst = max((one.max() for one in off), default=0.0)
+            if worst <= tolerance or worst > 0.999 * last:
                 break
+            last = worst
         return total
 
 
@@ -369,6 +372,7 @@ def rake(
         best = len(history) - 1 if history[-1] < 0.99 * history[best] else best
         if len(history) - 1 - best < STALLED:
             factors = [factor * by for factor, by in zip(factors, table.settled(now, tolerance / 10))]
+            factors = [factor / (factor.max() or 1.0) for factor in factors]  # only their ratios count
             continue
         if len(fixed) > 1:
             raise ValueError(f"no weights of these cells have these margins: they are {history[-1]:.2g} off, relative")
