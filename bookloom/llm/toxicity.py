@@ -94,11 +94,12 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     def count(batches):
         tally: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tally.update((entry, label) for entry in entries_of(text))
-            if len(tally) > 200_000:
-                yield _tallied(tally)
-                tally = Counter()
+            for texts, labels in zip(slices(batch.column(0)), slices(batch.column(1))):
+                for text, label in zip(texts, labels):
+                    tally.update((entry, label) for entry in entries_of(text))
+                if len(tally) > 100_000:
+                    yield _tallied(tally)
+                    tally = Counter()
         yield _tallied(tally)
 
     counts = (
@@ -121,7 +122,7 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
 
     def look_up(batches):
         for batch in batches:
-            hits = [candidates.found(text) for text in batch.column(0).to_pylist()]
+            hits = [candidates.found(text) for texts in slices(batch.column(0)) for text in texts]
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
 
     # At most as many rows as there are labelled documents in the sample.
