@@ -14,19 +14,24 @@ spans meet each other one by one.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import fence
+from ..functions.spans import REACHED, Spans, reached
 from ..sources.staging import stage
 from .pairs import blocks, pair_members
 
 # Bounds beyond any year of four digits and what it reaches.
 _BEFORE, _AFTER = -100_000, 100_000
 _BITS = 18  # of a bound that is counted from ``_BEFORE``
+_PART_ROWS = 2048  # profiles of a part; a pair of parts has at most as many links as its square
 
 
 class Network(NamedTuple):
@@ -79,46 +84,27 @@ def author_spans(valid_books: DataFrame, years: int) -> DataFrame:
 def linked_profiles(some: DataFrame, profiles: DataFrame, years: int) -> DataFrame:
     """``group_a, group_b``: the profiles within reach of each of ``some``, itself included, each once.
 
-    The band condition is an equi-join: of two spans within reach, the one that starts later
-    starts in a year between the start of the other and ``years`` after its end. There are few
-    years and one may dominate, so both sides of a year are cut into blocks. Profiles may meet in
-    several years, and are reported in the first of them only, by the side that starts later (by
-    the second if both start then); so the long list of pairs needs no ``distinct``.
+    Both sides are dealt into parts of about ``_PART_ROWS`` profiles, and a pair of parts is a group of
+    work, in which a profile takes two look-ups for each of its spans. Profiles of many spans
+    meet in many years: a join by year would carry all spans of both to each of those meetings,
+    to tell which is their first. Here a pair comes once, so the long list needs no ``distinct``.
     """
-    kept = F.struct("profile", "spans")
-
-    def reach(side: DataFrame) -> DataFrame:
-        year = F.explode(F.sequence("first", F.col("last") + years)).alias("group")
-        met = side.select(kept.alias("member"), F.inline("spans")).select(year, "member")
-        return stage(blocks(met), "reach")
-
-    def starts(side: DataFrame) -> DataFrame:
-        met = side.select(kept.alias("member"), F.inline("spans"))
-        return stage(
-            blocks(met.select(F.col("first").alias("group"), F.struct("member.*", "first").alias("member"))), "starts"
-        )
-
-    def first_meeting(a: Column, b: Column) -> Column:
-        near = lambda x, y: (y["first"] <= x["last"] + years) & (x["first"] <= y["last"] + years)
-        of_span = lambda x: F.transform(
-            F.filter(b["spans"], lambda y: near(x, y)), lambda y: F.greatest(x["first"], y["first"])
-        )
-        return F.array_min(F.flatten(F.transform(a["spans"], of_span)))
-
-    def owned(a: Column, b: Column, year: Column) -> Column:
-        single = (F.size(a["spans"]) == 1) & (F.size(b["spans"]) == 1)
-        return F.when(single, True).otherwise(first_meeting(a, b) == year)
-
-    a, b = F.col("a"), F.col("b")
-    later = pair_members(reach(some), starts(profiles)).where(owned(a, b, b["first"]))
-    if some is profiles:
-        sooner = later.select(b.alias("a"), a.alias("b"))
-    else:
-        sooner = pair_members(starts(some), reach(profiles)).where(owned(a, b, a["first"]))
-    # What starts in the same year as well has been met from the other side.
-    sooner = sooner.where(~F.exists(b["spans"], lambda span: span["first"] == a["first"]))
-    ids = a["profile"].alias("group_a"), b["profile"].alias("group_b")
-    return later.select(*ids).unionByName(sooner.select(*ids))
+    parts_a, parts_b = (max(1, math.ceil(side.count() / _PART_ROWS)) for side in (some, profiles))
+
+    def dealt(side: DataFrame, own: str, parts: int, its: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("profile"), F.lit(parts)).cast("int").alias(own)
+        met = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(its)
+        held = side.select(part, F.lit(own == "i").alias("left"), "profile", "spans.first", "spans.last")
+        return held.select("*", met).select("i", "j", "left", "profile", "first", "last")
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = (Spans.of(table.filter(mask)) for mask in (table["left"], pc.invert(table["left"])))
+        return reached(*sides, years)
+
+    both = dealt(some, "i", parts_a, "j", parts_b).unionByName(dealt(profiles, "j", parts_b, "i", parts_a))
+    # Spread by number: joined small partitions would leave most cores idle.
+    groups = min(4 * parts_a * parts_b, 20_000)
+    return both.repartition(groups, "i", "j").groupBy("i", "j").applyInArrow(run, REACHED)
 
 
 def _spans(profiles: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -177,3 +178,20 @@ def test_pairs_that_meet_in_several_years_come_once(spark):
     ids = {r.profile for r in some.collect()}
     assert sorted(part) == sorted(p for p in found if p[0] in ids)
     assert edges(influence.influence_edges(network)) == brute_force(rows, 5)
+
+
+def test_authors_of_very_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(influence, "_PART_ROWS", 32, raising=False)  # several parts
+    rng = random.Random(31)
+    rows = {(f"A{i}", 1000 + 13 * rng.randrange(650) + i % 3) for i in range(70) for _ in range(180)}
+    rows |= {(f"L{i}", rng.randrange(1000, 9999)) for i in range(30)} | {("Z", 30)}
+    network = network_of(spark, sorted(rows))
+    assert network.profiles.selectExpr("max(size(spans))").first()[0] > 130
+    began = time.monotonic()
+    found = [tuple(r) for r in influence.linked_profiles(network.profiles, network.profiles, 5).collect()]
+    assert time.monotonic() - began < 30  # took minutes when each meeting carried the spans of both
+    years = {r.profile: [tuple(s) for s in r.spans] for r in network.profiles.collect()}
+    near = lambda x, y: any(f <= u + 5 and t <= l + 5 for f, l in x for t, u in y)
+    assert sorted(found) == sorted((a, b) for a, x in years.items() for b, y in years.items() if near(x, y))
+    want = brute_force(sorted(rows), 5)
+    assert degrees(influence.out_degree(network)) == {a: sum(1 for x, _ in want if x == a) for a in {a for a, _ in want}}
