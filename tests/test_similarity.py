@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,3 +195,22 @@ def test_a_meeting_is_dropped_only_below_the_threshold(books):
     for least in (0.2, 0.6, 0.9):
         want = wanted_pairs(*all_cosines(books, texts), least)
         assert found_pairs(analyses.book_pairs(books(texts), least)) == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("bits", [1, 11])
+def test_tiles_give_the_same_pairs_and_shuffle_none(books, spark, monkeypatch, bits):
+    rng = random.Random(17)
+    texts = {f"b{i}": " ".join(rng.choice("abcdefghijkl") * 2 for _ in range(rng.randrange(1, 9))) for i in range(60)}
+    texts |= {f"c{i}": "copy of one text" for i in range(7)} | {"n": None, "e": ""}
+    table = books(texts).unionByName(spark.createDataFrame([("c1", "copy of one text"), ("b1", "aa bb")], "file_name string, text string"))
+    monkeypatch.setattr(similarity, "blocks", lambda df: pairs.blocks(df, bits=bits))
+    found = {}
+    for most in (10**6, 0):
+        monkeypatch.setattr(similarity, "_DEALT_PARTS", most)
+        monkeypatch.setattr(similarity, "_PART_ROWS", 9)
+        monkeypatch.setattr(similarity, "_BATCH_NAMES", 5)
+        df = analyses.book_pairs(table, 0.4)
+        found[most] = Counter((r.book_a, r.book_b, r.cosine) for r in df.collect())
+    assert found[0] == found[10**6] and found[0][("c0", "c1", 1.0)] == 2 and len(found[0]) > 60
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
