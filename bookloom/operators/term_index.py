@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -20,6 +20,7 @@ from .terms import normalize, tfidf
 
 LIST_ROWS = 1_000_000  # of a partition of the lists, about
 NAME_ROWS = 100_000  # of a partition of the books, about
+NAME_FILES = 8  # of a partition of the books, as each book is a long row
 FIRST_TERMS = 16  # lists read at first; then twice as many, and so on
 _SLACK = 1e-6  # cosines are reported to six digits: what could tie there is kept
 
@@ -28,8 +29,8 @@ class TermIndex(NamedTuple):
     """Tables as ``build_index`` leaves them."""
 
     lists: DataFrame  # term, book, file_name, unit, by ``part``, the largest unit of a term first
-    terms: DataFrame  # term, part, largest
-    books: DataFrame  # book, file_name, entries (term, unit), by ``part`` of the name
+    terms: DataFrame  # term, idf, part, largest
+    books: DataFrame  # book, file_name, terms (term, tf), by ``part`` of the name
     parts: int
     name_parts: int
 
@@ -46,10 +47,10 @@ def _part(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def _laid_out(df: DataFrame, parts: int, rows: int, key: str, order: list[Column], name: str) -> DataFrame:
-    """``df`` written with a folder for each ``part`` of ``key``; a long one is several files."""
+def _laid_out(df: DataFrame, parts: int, files: int, key: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` written with a folder for each ``part`` of ``key``, of ``files`` files at most."""
     path = new_path(df.sparkSession, name)
-    salt = F.pmod(F.xxhash64("book"), F.lit(max(1, math.ceil(rows / LIST_ROWS / parts)))).alias("_salt")
+    salt = F.pmod(F.xxhash64("book"), F.lit(files)).alias("_salt")
     placed = df.withColumn("part", _part(F.col(key), parts)).select("*", salt)
     placed = placed.repartition("part", "_salt").sortWithinPartitions("part", *order).drop("_salt")
     placed.write.partitionBy("part").parquet(path)
@@ -59,31 +60,40 @@ def _laid_out(df: DataFrame, parts: int, rows: int, key: str, order: list[Column
 
 def build_index(terms: DataFrame, idf: DataFrame) -> TermIndex:
     """Index the (staged) ``book_terms`` by the weights that ``idf`` gives; the texts are not read."""
-    weights = stage(normalize(tfidf(terms, idf)).where(F.col("weight") > 0), "weights")
-    rows, books = weights.count(), terms.count()
+    # A list has a row for each book of its term, so nothing has to be staged to be counted. The weights
+    # are many rows, and go one way only: from the books to the lists.
+    weights = normalize(tfidf(terms, idf)).where(F.col("weight") > 0)
+    rows = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    books = terms.count()
     parts = max(1, min(math.ceil(rows / LIST_ROWS * 8), idf.count()))
     name_parts = max(1, math.ceil(books / NAME_ROWS))
     lists = _laid_out(
         weights.select("term", "book", "file_name", F.col("weight").alias("unit")),
-        parts, rows, "term", [F.col("term"), F.desc("unit"), F.col("book")], "lists",
+        parts, max(1, math.ceil(rows / LIST_ROWS / parts)), "term", [F.col("term"), F.desc("unit"), F.col("book")], "lists",
     )
     largest = lists.groupBy("term", "part").agg(F.max("unit").alias("largest"))
-    entries = weights.groupBy("book").agg(F.collect_list(F.struct("term", F.col("weight").alias("unit"))).alias("entries"))
-    named = terms.select("book", "file_name").join(entries, "book", "left")
+    # A book is one row here; its weights are worked out when it is a target.
+    named = terms.select("book", "file_name", "terms")
     return TermIndex(
         lists,
-        stage(largest, "largest"),
-        _laid_out(named, name_parts, books, "file_name", [F.col("file_name"), F.col("book")], "named"),
+        stage(largest.join(idf.select("term", "idf"), "term").select("term", "idf", "part", "largest"), "largest"),
+        _laid_out(named, name_parts, NAME_FILES, "file_name", [F.col("file_name"), F.col("book")], "named"),
         parts,
         name_parts,
     )
 
 
-def _target(index: TermIndex, target: str) -> tuple[bool, dict[str, float]]:
-    """Whether there is a book of that name, and the weights of the first such."""
+def _target(index: TermIndex, target: str) -> tuple[bool, dict[str, Row]]:
+    """Whether there is a book of that name, and ``term, unit, part, largest`` of the first such."""
     named = index.books.where(_literal_part(index.books, target, index.name_parts)).where(F.col("file_name") == target)
-    row = named.orderBy("book").limit(1).collect()
-    return bool(row), {e["term"]: e["unit"] for e in (row[0]["entries"] or [])} if row else {}
+    book = named.agg(F.min("book")).first()[0]
+    if book is None:
+        return False, {}
+    own = named.where(F.col("book") == book).select(F.explode("terms").alias("entry")).select("entry.*")
+    # At most as many rows as the vocabulary has terms.
+    found = own.join(index.terms, "term").select("term", (F.col("tf") * F.col("idf")).alias("weight"), "part", "largest").collect()
+    norm = math.sqrt(math.fsum(r["weight"] ** 2 for r in found))
+    return True, {r["term"]: Row(unit=r["weight"] / norm, part=r["part"], largest=r["largest"]) for r in found}
 
 
 def _literal_part(table: DataFrame, key: str, parts: int) -> Column:
@@ -108,21 +118,20 @@ def search(index: TermIndex, target: str, rows: int = fixed.TOP_SIMILAR) -> Foun
     compared with no book of its name; if there is none, no row is returned.
     """
     spark = index.lists.sparkSession
-    present, own = _target(index, target)
+    present, known = _target(index, target)
     nothing = spark.createDataFrame([], "file_name string, cosine double")
     if not present:
         return Found(nothing, 0, 0)
-    # At most as many entries as the vocabulary has terms.
-    known = {r["term"]: r for r in index.terms.where(F.col("term").isin(list(own))).collect()} if own else {}
-    order = sorted(known, key=lambda term: (-own[term] * known[term]["largest"], term))
-    left = [own[term] * known[term]["largest"] for term in order]
+    most = {term: r["unit"] * r["largest"] for term, r in known.items()}
+    order = sorted(known, key=lambda term: (-most[term], term))
+    left = [most[term] for term in order]
     rest = [sum(left[i:]) for i in range(len(left) + 1)]
 
     def sums(names: list[str], only: DataFrame | None = None) -> DataFrame:
         lists = opened_lists(index, sorted({known[t]["part"] for t in names}), names)
         lists = lists.where(F.col("file_name") != target)
         lists = lists if only is None else lists.join(only.select("book"), "book", "left_semi")
-        weights = spark.createDataFrame([(t, own[t]) for t in names], "term string, weight double")
+        weights = spark.createDataFrame([(t, known[t]["unit"]) for t in names], "term string, weight double")
         # At most as many rows as the vocabulary has terms.
         lists = lists.join(F.broadcast(weights), "term")
         return lists.groupBy("book", "file_name").agg(F.sum(F.col("unit") * F.col("weight")).alias("dot"))

@@ -94,3 +94,19 @@ def test_names_that_are_repeated(spark):
 def test_no_books(books):
     index = analyses.book_index(books({"1": "x"}).limit(0))
     assert term_index.search(index, "1").cosines.collect() == []
+
+
+def test_weights_are_shuffled_to_the_lists_only(books, conf, monkeypatch):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    staged = []
+    keep = term_index.stage
+    monkeypatch.setattr(term_index, "stage", lambda df, name: staged.append(name) or keep(df, name))
+    texts = random_texts(10, 50, 60, 30)
+    index = analyses.book_index(books(texts))
+    assert staged == ["largest"]  # a table of the vocabulary: no copy of all weights is written and read
+    assert index.books.count() == 50 and index.books.schema["terms"].dataType.elementType.names == ["term", "tf"]
+    assert len(index.books.inputFiles()) > 1  # one part, but not one task
+    present, own = term_index._target(index, "b007")
+    units = {r.term: r.unit for r in index.lists.where("file_name = 'b007'").collect()}
+    assert present and {t: r["unit"] for t, r in own.items()} == pytest.approx(units)
+    assert term_index._target(index, "b") == (False, {})
