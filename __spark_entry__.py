@@ -106,7 +106,7 @@ def _similar_books_indexed(books: DataFrame) -> DataFrame:
 def _books_from_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "books")
     write_books(_books(spark, folder), path)
-    found = read_books(spark, f"{path}/*.txt")
+    found = read_books(spark, path)
     return found.select("file_name", F.length("text").cast("bigint").alias("characters"), F.md5("text").alias("digest"))
 
 

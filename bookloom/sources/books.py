@@ -15,6 +15,8 @@ def read_books(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     The name is the last path part if it ends in ``.txt``, else "". It is URI-encoded, as Spark
     reports it: ``a b.txt`` reads ``a%20b.txt``.
+    For many files name their folder: it is listed once, where a pattern makes each file that it
+    matches a path to be listed by itself.
     """
     files = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     return files.select(
