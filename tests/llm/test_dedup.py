@@ -1,5 +1,6 @@
 """Near duplicates against brute force, and components against a plain search."""
 
+import importlib
 import random
 import re
 
@@ -163,6 +164,22 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert components(df.where(F.lit(False))).collect() == []
 
 
+def test_components_of_stars_and_chains_take_few_rounds(spark, monkeypatch):
+    """A star around its smallest id falls together in one round, a chain in logarithmically many."""
+    module = importlib.import_module("bookloom.llm.components")
+    rounds, stage = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+
+    def taken(links, smallest):
+        rounds.clear()
+        found = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+        assert {r.component for r in found} == smallest and len(found) == len({i for link in links for i in link})
+        return rounds.count("jumps")
+
+    assert taken([(i, 7) for i in range(8, 600)] + [(i, -3) for i in range(1000, 1400)], {7, -3}) == 1
+    assert taken([(i, i + 1) for i in range(200)], {0}) <= 9
+
+
 def test_different_texts_of_one_id_are_documents(spark):
     t, u, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuz")
     rows = [(1, t, "x", 5), (1, u, "y", 6), (2, t + " end", "x", 7), (3, u, "q", 8), (3, z, "r", 9), (None, "a", "b", 1),
