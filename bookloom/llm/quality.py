@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .process import slices
+from .process import forget, slices
 
 MAX_LABELLED = 20_000  # rows a model is fitted on, those of the smallest hashes of their ids
 ROUNDS = 4  # preference pairs for each document that takes part
@@ -81,6 +81,7 @@ class Model(NamedTuple):
 
         @F.arrow_udf("double")
         def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            forget()
             for part in texts:
                 raw = [float(weights @ features(x)) for some in slices(part) for x in some]
                 yield pa.array(raw, pa.float64())
@@ -183,6 +184,7 @@ def fit(
     sampled = sample_of_labels(labels, F.col("label"), most)
 
     def measure(batches):
+        forget()
         for batch in batches:
             rows = [features(text) for some in slices(batch.column(1)) for text in some]
             yield pa.RecordBatch.from_arrays(

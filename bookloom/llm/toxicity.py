@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .process import slices
+from .process import forget, slices
 from .quality import labelled_texts, sample_of_labels
 
 MAX_LABELLED = 20_000  # rows a model is fitted on, those of the smallest hashes of their ids
@@ -92,6 +92,7 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     """
 
     def count(batches):
+        forget()
         tally: Counter = Counter()
         for batch in batches:
             for texts, labels in zip(slices(batch.column(0)), slices(batch.column(1))):
@@ -121,6 +122,7 @@ def mine(known: DataFrame, toxic: int, others: int) -> Lexicon:
     candidates = Lexicon({e: i for i, e in enumerate(entries)}, np.zeros(len(entries), int))
 
     def look_up(batches):
+        forget()
         for batch in batches:
             hits = [candidates.found(text) for texts in slices(batch.column(0)) for text in texts]
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
@@ -202,10 +204,13 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, prior: float) -> LabelModel
         residue = np.zeros((number, number))
         for kind, weight in enumerate(((1 - q) * counts, q * counts)):
             whole = weight.sum()
-            # Two imaginary documents, one of which a voter fires in, keep chances inside 0 … 1.
-            fires[kind] = (weight @ votes + (0.02 if kind == 0 else 0.5)) / (whole + 2.0)
+            # Two imaginary documents, which voters fire in one by one, keep chances inside 0 … 1. They
+            # count in the variances too: else what is left of a class in the other one, however
+            # little, correlates voters that hardly vary otherwise.
+            imagined = 0.02 if kind == 0 else 0.5
+            fires[kind] = (weight @ votes + imagined) / (whole + 2.0)
             centred = votes - fires[kind]
-            residue += (centred * weight[:, None]).T @ centred
+            residue += (centred * weight[:, None]).T @ centred + np.eye(number) * imagined * (1 - imagined / 2)
         fires[1] = np.maximum(fires[1], fires[0])  # a voter never speaks for the other class
         fires = np.clip(fires, 1e-5, 1 - 1e-5)
         # As many imaginary documents hold the prior where the labels have it.
@@ -230,6 +235,7 @@ class Model(NamedTuple):
 
         @F.arrow_udf("double")
         def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            forget()
             for part in texts:
                 raw = [weights[lexicon.found(x)].sum() for some in slices(part) for x in some]
                 raw = np.clip(np.array(raw, float) + intercept, -35, 35)
@@ -263,6 +269,7 @@ def fit(
         return Model(lexicon, None, np.zeros(0), -4.0)
 
     def vote(batches):
+        forget()
         for batch in batches:
             for texts in slices(batch.column(0)):
                 hits = [lexicon.found(text) for text in texts]

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bookloom.llm import mixing, quality, queries, toxicity
+from bookloom.llm import mixing, process, quality, queries, toxicity
 
 KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint, label int, score double"
 FOLDER = "/root/testdata/sf0.01"
@@ -157,6 +158,26 @@ def test_label_model_finds_accuracies_and_correlations():
     assert model.voices[3] < 0.7 < model.voices[0]
 
 
+def test_one_word_alone_marks_a_toxic_text():
+    """Two words that nearly always go together, each with beginnings, are two voices."""
+    patterns = np.array([[0] * 7, [1] * 7, [1, 1, 1, 0, 0, 0, 0]], float)
+    model = toxicity.fit_votes(patterns, np.array([450.0, 47.0, 3.0]), 0.1)
+    assert model.posterior(patterns) == pytest.approx([0, 1, 1], abs=0.02)
+
+
+def test_scoring_lets_go_of_what_another_query_keeps(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda function: lambda column: function)
+    toxic = toxicity.Model(toxicity.Lexicon({}, np.array([], int)), None, np.zeros(0), -4.0)
+    good = quality.Model(np.zeros(len(quality.features(""))), 0.0, 1.0)
+    for score in (toxic.score({"text": None}), good.raw({"text": None})):
+        process.forget()
+        made = []
+        process.once_per_process("tokens", lambda: made.append(1))
+        assert len(*score(iter([pa.array(["a b"])]))) == 1
+        process.once_per_process("tokens", lambda: made.append(1))
+        assert len(made) == 2
+
+
 def test_queries_on_the_tables(spark):
     for name, column in (("op4_bradley_terry_quality", "quality"), ("op9_weak_toxicity", "toxic")):
         found = queries.queries()[name](spark, FOLDER)
