@@ -20,24 +20,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .process import once_per_process, slices
+from .process import limited_batches, once_per_process, slices
 
 CAPACITY = 4096
-_KEPT = 300_000  # entries that a task remembers of tokens
+_KEPT = 200_000  # parts of texts whose ids a process remembers, at most
 _CHUNK = 20_000  # rows that are ranked together, about
 
 # Of the tokenizer's pattern, what it comes to on the characters below.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \n]+")
+
+
+class _Remembered(dict):
+    """``make`` of each key. Of at most ``_KEPT`` values that are held, the half in use longest ago goes."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.earlier = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= _KEPT // 2:
+            self.earlier = dict(self)
+            self.clear()
+        value = self.earlier.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
 
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """Token ids of a text as little-endian unsigned 32-bit numbers, equal to the tokenizer's.
 
     For vocabularies that drop white space: a text's ids are those of its parts between blanks
-    and line feeds, one after the other, and a part's ids are remembered. Parts of plain letters,
-    digits and signs are cut as the tokenizer does and given to its model; all other parts, and
-    texts that hold a special token, are given to the tokenizer itself.
+    and line feeds, one after the other. Texts of plain letters, digits and signs are cut as the
+    tokenizer does and given to its model; of other texts, and those that hold a special token, the
+    parts that are not plain are given to the tokenizer itself. The ids of words are remembered.
     """
     from tokenizers import Tokenizer
 
@@ -47,34 +62,28 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-    runs: dict[str, bytes] = {}
 
     def packed(ids) -> bytes:
         return np.fromiter(ids, "<u4").tobytes()
 
     def run(part: str) -> bytes:
-        found = runs.get(part)
-        if found is None:
-            if len(runs) >= _KEPT:
-                runs.clear()
-            visible = part.encode().decode("latin-1").translate(shown)
-            found = runs[part] = packed(token.id for token in model.tokenize(visible))
-        return found
-
-    class Units(dict):
-        def __missing__(self, unit: str) -> bytes:
-            if _PLAIN.fullmatch(unit) and not any(token in unit for token in special):
-                ids = b"".join(map(run, _PARTS.findall(unit.lower())))
-            else:
-                ids = packed(tokenizer.encode(unit, add_special_tokens=False).ids)
-            if len(self) < _KEPT:
-                self[unit] = ids
-            return ids
+        visible = part.encode().decode("latin-1").translate(shown)
+        return packed(token.id for token in model.tokenize(visible))
+
+    runs = _Remembered(run)
+    odd = _Remembered(lambda unit: packed(tokenizer.encode(unit, add_special_tokens=False).ids))
+
+    def plain(text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(token in text for token in special)
 
-    units = Units()
+    def of_plain(text: str) -> bytes:
+        return b"".join(map(runs.__getitem__, _PARTS.findall(text.lower())))
 
     def encode(text: str | None) -> bytes:
-        return b"".join(map(units.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        if plain(text := text or ""):
+            return of_plain(text)
+        units = text.replace("\n", " ").split(" ")
+        return b"".join(of_plain(unit) if plain(unit) else odd[unit] for unit in units)
 
     return encode
 
@@ -262,4 +271,6 @@ def pack_documents(
     pieces = cut_documents(
         documents, tokenizer_path, end_id, capacity, id_col, text_col, keep_ids
     )
-    return pack(stage(pieces, "pieces"), capacity)
+    with limited_batches(documents.sparkSession):
+        staged = stage(pieces, "pieces")
+    return pack(staged, capacity)

@@ -3,7 +3,7 @@
 A stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. All but the
 last return rows of ``docs`` with the columns as they are, and whatever more of them there are. Null
 texts are judged as empty ones and rows without an id by their text; an empty table passes all
-stages as one.
+stages as one. Results are lazy, so a stage leaves the session's limit of Arrow batches set.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm import dedup, mixing, packing, quality, queries, toxicity
+from bookloom.llm import dedup, mixing, packing, process, quality, queries, toxicity
 from bookloom.sources import new_path, staging_scope
 
 
@@ -23,11 +23,13 @@ def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.3; repeated rows stay or go together."""
+    process.limit_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, _labels(spark, sf_dir, "toxic")))
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is not under the quantile that bad documents make up."""
+    process.limit_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, _labels(spark, sf_dir, "quality")))
 
 
@@ -36,6 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat an id and a text one stays, rows without an id all stay.
     """
+    process.limit_batches(spark)
     return dedup.keep_representatives(docs)
 
 
@@ -44,11 +47,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are not sampled; rows of one id and cell are sampled alike.
     """
+    process.limit_batches(spark)
     return mixing.sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences; repeated rows are packed each."""
+    process.limit_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 

@@ -1,16 +1,18 @@
 """Packing: ids as the tokenizer gives them, and places that fit."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from bookloom.llm import packing
+from bookloom.llm import packing, process
 from bookloom.llm.queries import tokenizer_path
 
 PATH = tokenizer_path()
@@ -37,6 +39,24 @@ def test_ids_of_odd_texts(text):
     assert np.frombuffer(ENCODE(text), "<u4").tolist() == ids_of(text)
 
 
+def test_words_are_remembered_once(monkeypatch):
+    monkeypatch.setattr(packing, "_KEPT", 4000)
+    encode = packing.word_encoder(PATH)
+    encode("a")
+    texts = [" ".join(f"{w}, {w.title()}. {w};" for w in words_of(n)) for n in range(20)]
+    tracemalloc.start()
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(text)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 75 * 4000
+
+
+def words_of(n):
+    letters = "bcdfghjklm"
+    return ["".join(letters[int(d)] for d in str(1000 * n + i)) for i in range(1000)]
+
+
 def bins_of(runs):
     bins = defaultdict(list)
     for length, count, first, each, offset in runs:
@@ -126,3 +146,22 @@ def test_ids_can_be_kept(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(table(spark, []), PATH).collect() == []
+
+
+def test_batches_are_limited_while_texts_are_cut(spark, monkeypatch):
+    key, seen, stage = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.stage
+    monkeypatch.setattr(packing, "stage", lambda *a: seen.append(spark.conf.get(key)) or stage(*a))
+    before = spark.conf.get(key)
+    packing.pack_documents(table(spark, [(1, "a king at sea")]), PATH)
+    assert seen == [str(process.BATCH_BYTES)] and spark.conf.get(key) == before
+
+
+def test_batches_stay_near_the_limit(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    texts = spark.range(0, 9000, 1, 1).selectExpr("concat(id, repeat('a king at sea ', 200)) AS text")
+    with process.limited_batches(spark):
+        found = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) > 6 * process.BATCH_BYTES and max(found) < 1.2 * process.BATCH_BYTES
