@@ -214,3 +214,62 @@ def test_tiles_give_the_same_pairs_and_shuffle_none(books, spark, monkeypatch, b
     assert found[0] == found[10**6] and found[0][("c0", "c1", 1.0)] == 2 and len(found[0]) > 60
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def made_vectors(seed, count, kinds, length, first_id=0):
+    rng = np.random.default_rng(seed)
+    odds = 1 / np.arange(kinds, 0, -1)
+    rows = [np.sort(rng.choice(kinds, rng.integers(1, length), replace=False, p=odds / odds.sum())) for _ in range(count)]
+    units = [x / np.linalg.norm(x) for x in (rng.random(len(row)) for row in rows)]
+    after = [np.sqrt(np.maximum(0, 1 - np.cumsum(x * x))) for x in units]
+    leads = [int(np.count_nonzero(np.concatenate([[1.0], a[:-1]]) >= 0.4)) for a in after]
+    starts = np.concatenate([[0], np.cumsum([len(row) for row in rows])])
+    return Vectors(first_id + np.arange(count), starts, *map(np.concatenate, (rows, units, after)), np.array(leads))
+
+
+def products(left, right, size):
+    sides = [vectors._split(side, 0, size)[0] for side in (left, right)]
+    return sides[0] @ sides[1].T
+
+
+@pytest.mark.parametrize("frequent", [0, 1, 7, 40])
+def test_blocks_find_what_all_products_find(monkeypatch, frequent):
+    monkeypatch.setattr(vectors, "_BLOCK", 16)
+    monkeypatch.setattr(vectors, "_SLICE", 50)
+    left, right = made_vectors(1, 90, 40, 12), made_vectors(2, 70, 40, 12, 90)
+    for gather in (1, 12, 10**6):  # in a matrix, either, one by one
+        monkeypatch.setattr(vectors, "_GATHER", gather)
+        for other in (right, None):
+            product = products(left, left if other is None else other, 40)
+            want = {(i, j): product[i, j] for i, j in zip(*np.nonzero(product >= 0.4)) if other is not None or i < j}
+            found = [x for some in vectors._by_blocks(left, other, 0.4, 40, 40 - frequent) for x in zip(*some)]
+            assert {(a, b): c for a, b, c in found} == pytest.approx(want) and len(found) == len(want) > 50
+            found = [(a, b) for some in vectors._by_leads(left, other, 0.4, 40) for a, b, _ in zip(*some)]
+            assert sorted(found) == sorted(want)
+
+
+def test_frequent_terms_are_not_looked_up_for_each_pair(monkeypatch):
+    held, ranges, looked_up = made_vectors(3, 400, 60, 50), vectors._ranges, []
+    monkeypatch.setattr(vectors, "_ranges", lambda starts, lengths: looked_up.append(int(np.sum(lengths))) or ranges(starts, lengths))
+    found = vectors.similar_pairs(held, None, 0.4)
+    assert len(found) == np.count_nonzero(np.triu(products(held, held, 60) >= 0.4, 1)) > 10_000
+    assert sum(looked_up) < 400 * 400  # terms of 400 * 399 / 2 pairs
+
+
+def test_rounded_as_spark_rounds(spark):
+    rng = np.random.default_rng(5)
+    ties = [k / 10**7 for k in range(4_999_995, 5_000_100, 10)] + [0.1234565, 0.9999995, 1.0000000000000002, 0.49999949999999997]
+    values = np.array([*ties, *rng.random(2000), *(rng.integers(0, 10**6, 500) + 0.5) / 10**6])
+    rows = spark.createDataFrame([(float(x),) for x in values], "x double").selectExpr("x", "round(x, 6) as y").collect()
+    assert vectors._rounded(np.array([r.x for r in rows]), 6).tolist() == [r.y for r in rows]
+
+
+def test_a_tile_is_one_value_and_no_row_of_pairs_is_exploded(books, monkeypatch):
+    monkeypatch.setattr(similarity, "_DEALT_PARTS", 0)
+    monkeypatch.setattr(similarity, "_PART_ROWS", 10)
+    staged = {}
+    monkeypatch.setattr(similarity, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    df = analyses.book_pairs(books(random_texts(21, 60, 60, 20)), 0.3)
+    assert staged["tiles"].dtypes == [("tile", "bigint"), ("packed", "binary")] and staged["tiles"].count() >= 3
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.dtypes == [("book_a", "string"), ("book_b", "string"), ("cosine", "double")] and df.count() > 20
