@@ -273,3 +273,10 @@ def test_a_tile_is_one_value_and_no_row_of_pairs_is_exploded(books, monkeypatch)
     assert staged["tiles"].dtypes == [("tile", "bigint"), ("packed", "binary")] and staged["tiles"].count() >= 3
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.dtypes == [("book_a", "string"), ("book_b", "string"), ("cosine", "double")] and df.count() > 20
+
+
+def test_terms_of_books_are_not_shuffled_to_the_vocabulary(books, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    keyed = stage(similarity.keyed_terms(terms.book_terms(books(WHALES))), "terms")
+    units = similarity.unit_vectors(keyed, terms.idf(keyed, terms.vocabulary(keyed)))
+    assert "SortMergeJoin" not in units._jdf.queryExecution().executedPlan().toString()
